@@ -1,0 +1,70 @@
+"""Reproducible sample that stays stable while the data grow.
+
+Method: a persisted selection ledger. Every growth step keeps all keys of the earlier
+steps by a join and fills the quota that the growth adds from the keys not seen in the
+ledger, lowest hash priority first. The result depends on keys and steps alone, never on
+partitioning or the order of rows.
+
+Defined cases: null keys are never selected; repeated keys count once; an empty table
+gives an empty ledger; a rate of 1 keeps every key; deleted records stay in the ledger;
+extra columns of any name are ignored.
+"""
+
+from __future__ import annotations
+
+import math
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from actaloom.operators.hash_pick import lowest_by_hash
+from actaloom.session import shared_dir
+
+LEDGER = T.StructType([T.StructField("sample_key", T.StringType()), T.StructField("step", T.LongType())])
+
+
+def read_ledger(spark: SparkSession, path: str, steps: int) -> DataFrame:
+    """The ledger's rows of the steps 0 .. steps-1 (each step is one folder, so a repeated step overwrites only itself)."""
+    paths = [f"{path}/step={k:05d}" for k in range(steps)]
+    return spark.read.schema(LEDGER).parquet(*paths) if paths else spark.createDataFrame([], LEDGER)
+
+
+def advance_ledger(df: DataFrame, key: str, path: str, step: int, rate: float, salt: str = "ledger-v1") -> DataFrame:
+    """Runs growth step `step` over the present records df and returns the whole ledger (sample_key, step).
+
+    The quota after the step is ceil(rate * distinct keys). Earlier keys are kept whatever
+    happened to their records; if they already exceed the quota, none is added.
+    """
+    spark = df.sparkSession
+    keys = df.select(F.col(key).cast("string").alias("sample_key")).filter(F.col("sample_key").isNotNull()).distinct()
+    past = read_ledger(spark, path, step)
+    total, kept = keys.count(), past.count()
+    quota = max(0, math.ceil(round(rate * total, 6)) - kept)
+    fresh = keys.join(past.select("sample_key"), "sample_key", "left_anti").withColumn("_all", F.lit(1))
+    quotas = spark.range(1).select(F.lit(1).alias("_all"), F.lit(quota).cast("bigint").alias("take"))
+    picked = lowest_by_hash(fresh, "sample_key", quotas, "_all", salt, bins=65536)
+    picked.select("sample_key", F.lit(step).cast("bigint").alias("step")).write.mode("overwrite").parquet(f"{path}/step={step:05d}")
+    return read_ledger(spark, path, step + 1)
+
+
+def grown_sample(df: DataFrame, key: str, arrival: str, rate: float, path: str | None = None, salt: str = "ledger-v1") -> DataFrame:
+    """Replays the growth of df by quarter of `arrival` (ISO date strings; a key arrives with its first record).
+
+    Returns (sample_key, step). The number of steps is the number of quarters between the
+    first and the last arrival. Records without a readable date belong to the first step.
+    """
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    day = F.try_to_timestamp(F.col(arrival).cast("string"), F.lit("yyyy-MM-dd"))
+    seen = (
+        df.select(F.col(key).cast("string").alias("sample_key"), (F.year(day) * 4 + F.quarter(day) - 1).alias("_q"))
+        .groupBy("sample_key")
+        .agg(F.coalesce(F.min("_q"), F.lit(0)).alias("_q"))
+    )
+    steps = [r["_q"] for r in seen.select("_q").distinct().orderBy("_q").collect()]
+    out = read_ledger(spark, path, 0)
+    for k, last in enumerate(steps):
+        out = advance_ledger(seen.filter(F.col("_q") <= last), "sample_key", path, k, rate, salt)
+    return out

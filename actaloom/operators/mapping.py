@@ -1,0 +1,165 @@
+"""Mapping of freely typed values to a canonical list.
+
+Method: an Aho-Corasick automaton over the canonical names and their aliases finds
+mentions inside each value; the longest mentions that do not overlap win. Values without
+one go to token-set similarity: tokens are paired with the tokens of each name by edit
+distance (swapped, doubled, lost and wrong letters, abbreviations before a full stop), and
+the value as a whole, spaces left out, is compared as well, which covers misplaced spaces.
+
+The automaton holds the reference list, which is bounded: more than `MAX_NAMES` names and
+aliases raise an error. Only distinct values pass through Python.
+
+Defined cases: null and blank values have no row in the distinct map; a value of signs only,
+or like no entry, gives `unmapped`; of equally good entries the one of the lowest name
+wins; a value naming two entries goes to the longer mention.
+"""
+
+from __future__ import annotations
+
+import functools
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+UNMAPPED = "unmapped"
+MAX_NAMES = 100_000
+#: Words that carry no meaning of their own in the names of the list.
+STOP = {"a", "o", "as", "os", "e", "de", "do", "da", "dos", "das", "em", "no", "na", "nos", "nas", "por", "ao", "para", "com", "the", "of", "and", "in"}
+#: Similarity that a value must reach; the whole value's, and the mean of its tokens'.
+WHOLE, TOKENS = 0.66, 0.80
+
+
+def fold(value: str) -> str:
+    """Lower-cased words without accents, signs and encoding damage, single blanks between."""
+    try:
+        value = value.encode("latin-1").decode("utf-8")  # UTF-8 read as Latin-1
+    except UnicodeError:
+        try:
+            value = value.encode("cp1252").decode("utf-8")
+        except UnicodeError:
+            pass
+    flat = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c)).lower()
+    return " ".join(re.sub(r"[^\w.]|_", " ", flat).split())
+
+
+@functools.lru_cache(maxsize=100_000)
+def letters(a: str) -> int:
+    """The set of a's characters as bits."""
+    bits = 0
+    for c in a:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
+def distance(a: str, b: str, most: int) -> int:
+    """Optimal string alignment distance, or most + 1 if it is larger."""
+    if a == b:
+        return 0
+    x, y = letters(a), letters(b)
+    if abs(len(a) - len(b)) > most or (x & ~y).bit_count() > most or (y & ~x).bit_count() > most:
+        return most + 1
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, before, row = before, row, [i] + [0] * len(b)
+        for j, y in enumerate(b, 1):
+            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], last[j - 2] + 1)
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def likeness(a: str, b: str) -> float:
+    size = max(len(a), len(b))
+    return 1 - distance(a, b, int(size * 0.4)) / size if size else 0.0
+
+
+class Mapper:
+    """names: (folded name or alias, entry), any number an entry."""
+
+    def __init__(self, names: list[tuple[str, str]]) -> None:
+        import ahocorasick
+
+        self.names: dict[str, str] = {}
+        for name, entry in sorted(names):
+            if name:
+                self.names.setdefault(name.replace(".", ""), entry)
+        self.auto = ahocorasick.Automaton()
+        for name, entry in self.names.items():
+            self.auto.add_word(f" {name} ", (len(name) + 2, entry))
+        self.auto.make_automaton()
+        self.parts = [(name, name.replace(" ", ""), [w for w in name.split() if w not in STOP] or name.split(), entry) for name, entry in sorted(self.names.items())]
+
+    def embedded(self, text: str) -> str | None:
+        """The entry of the longest mention; mentions stand on word ends and do not overlap."""
+        if not self.names:
+            return None
+        hits = sorted(((size, -end, entry) for end, (size, entry) in self.auto.iter(f" {text} ")), reverse=True)
+        taken: list[tuple[int, int, str]] = []
+        for size, end, entry in hits:
+            a, b = -end - size + 1, -end
+            if all(b <= x or a >= y for x, y, _ in taken):  # neighbours share one blank
+                taken.append((a, b, entry))
+        return taken[0][2] if taken else None
+
+    def tokens(self, value: list[str], name: list[str]) -> float:
+        """Letters of both sides in tokens that pair up, each weighted by its likeness."""
+        left, good = list(name), 0.0
+        for w in value:
+            short = w.endswith(".")
+            w = w.strip(".")
+            best, pick = 0.0, None
+            for k, n in enumerate(left):
+                s = 1.0 if short and len(w) >= 3 and n.startswith(w) else likeness(w, n)
+                if s > best:
+                    best, pick = s, k
+            if pick is not None and best >= 0.6:
+                size = len(left.pop(pick))
+                good += best * ((size if short else len(w)) + size)
+        total = sum(len(w.strip(".")) for w in value) + sum(map(len, name))
+        return min(1.0, good / total) if total else 0.0
+
+    def __call__(self, value: str) -> str:
+        text = fold(value)
+        plain = " ".join(text.replace(".", " ").split())
+        if not re.search(r"[^\W\d]", plain):
+            return UNMAPPED
+        if entry := self.embedded(plain):
+            return entry
+        words = [w for w in text.split() if w.strip(".") and w.strip(".") not in STOP and not w.strip(".").isdigit()]
+        squeezed = "".join(w for w in plain.split() if not w.isdigit())
+        best, pick = 0.0, UNMAPPED
+        for _, tight, tokens, entry in self.parts:
+            whole, pairs = likeness(squeezed, tight), self.tokens(words, tokens)
+            score = max(whole if whole >= WHOLE else 0.0, pairs if pairs >= TOKENS else 0.0)
+            if score > best:
+                best, pick = score, entry
+        return pick
+
+
+def names_of(reference: DataFrame, entry: str, aliases: str | None) -> list[tuple[str, str]]:
+    """(folded name, entry) of the reference list; raises beyond MAX_NAMES."""
+    cols = [F.array(F.col(entry))] + ([F.coalesce(F.col(aliases), F.array().cast("array<string>"))] if aliases else [])
+    rows = reference.select(F.col(entry).alias("entry"), F.explode(F.concat(*cols)).alias("name")).limit(MAX_NAMES + 1).collect()
+    if len(rows) > MAX_NAMES:
+        raise ValueError("the reference list is too large for one automaton")
+    return [(fold(r["name"]), r["entry"]) for r in rows if r["name"] and r["entry"]]
+
+
+def map_values(df: DataFrame, value: str, reference: DataFrame, entry: str, aliases: str | None = None) -> DataFrame:
+    """(value, entry): one row for each distinct value of df that is not blank."""
+    spark, names = df.sparkSession, names_of(reference, entry, aliases)
+    shared = spark.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mapper = Mapper(shared.value)
+        for b in batches:
+            yield pd.DataFrame({"value": b["value"], "entry": [mapper(v) for v in b["value"]]})
+
+    distinct = df.select(F.col(value).cast("string").alias("value")).filter(F.col("value").isNotNull() & F.col("value").rlike(r"[^\s ]")).distinct()
+    return distinct.mapInPandas(run, "value string, entry string")

@@ -1,0 +1,318 @@
+"""Similarity join of records by their sets of consecutive words.
+
+Method: chosen-path join. Each set is split recursively on tokens sampled by a hash that
+all sets share: from a node of the recursion a set goes on to the children of those of its
+tokens whose hash with the path lies under a threshold, about `BRANCH` of them. A path ends
+as soon as its bucket is expected to be small; sets that meet at the end of a path are
+compared by brute force. Independent runs are repeated until a pair at the threshold is
+met with the probability `recall`. What meets is then checked exactly.
+
+Scale: sets that are equal form one class, and only classes go through the join, so that a
+group of copies costs as one record. How many sets hold a token is estimated over all rows
+by a table of fixed size (4 MB), which is all that is broadcast. A bucket that is large all
+the same is cut into blocks whose pairs of blocks are separate groups: nothing is dropped
+and no task holds more than two blocks. Only pairs whose 128-bit sketches agree leave a
+bucket.
+
+Defined cases: null and blank texts belong to no class; a text of fewer words than a
+shingle is the set of its one short shingle, so that equal short texts meet; repeated rows
+count once; a text of any length is one row of the set table.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from actaloom.session import cut, spread, stored
+
+#: Expected number of children of a set at each node.
+BRANCH = 1.5
+#: Longest path, and the sets that a bucket is brought down to.
+DEPTH, SMALL = 8, 24
+#: Classes of one block of a large bucket.
+BLOCK = 2048
+#: Cells of the table of token frequencies.
+CELLS = 1 << 20
+WORD = re.compile(r"\w+")
+
+K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+S29, S32 = np.uint64(29), np.uint64(32)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> S32)) * K1
+    x = (x ^ (x >> S29)) * K2
+    return x ^ (x >> S32)
+
+
+class Words(dict):
+    """Word -> 64-bit hash; emptied when it gets large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+WORDS = Words()
+
+
+def shingles(text: str, width: int) -> np.ndarray:
+    """The set of the text's shingles as sorted 32-bit hashes."""
+    words = WORD.findall(text.lower())
+    h = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
+    if len(h) < width:
+        return np.array([xxhash.xxh3_64_intdigest(" ".join(words)) >> 32], np.uint32)
+    s = h[: len(h) - width + 1] * K1
+    for k in range(1, width):
+        s = mix(s ^ (h[k : len(h) - width + 1 + k] + K3))
+    return np.unique((s >> S32).astype(np.uint32))
+
+
+SEEDS = mix(np.arange(1, 129, dtype=np.uint64) * K3)
+
+
+def sketch(x: np.ndarray) -> tuple[int, int]:
+    """128 bits; each agrees for two sets with a probability of (1 + Jaccard similarity) / 2."""
+    low = np.array([mix(x ^ s).min() for s in SEEDS]) if len(x) > 4096 else mix(x[None, :] ^ SEEDS[:, None]).min(axis=1)
+    bits = np.packbits((low >> np.uint64(40)).astype(np.uint8) & 1).tobytes()
+    return int.from_bytes(bits[:8], "little", signed=True), int.from_bytes(bits[8:], "little", signed=True)
+
+
+SETS = "key string, cls binary, n int, s1 bigint, s2 bigint, items binary, cells binary"
+
+
+def set_table(texts: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """One row for each text that is not blank, see SETS; a last row a partition (key null) has the frequent cells in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, sets = np.zeros(CELLS, np.uint32), 0
+        schema = pa.schema([("key", pa.string()), ("cls", pa.binary()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("items", pa.binary()), ("cells", pa.binary())])
+        for b in batches:
+            rows = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k is None or t is None or not t.strip():
+                    continue
+                x = shingles(t, width)
+                sets += 1
+                count += np.bincount(x & np.uint32(CELLS - 1), minlength=CELLS).astype(np.uint32) if len(x) > CELLS // 8 else 0
+                if len(x) <= CELLS // 8:
+                    np.add.at(count, x & np.uint32(CELLS - 1), 1)
+                raw = x.tobytes()
+                rows.append((k, hashlib.blake2b(raw, digest_size=16).digest(), len(x), *sketch(x.astype(np.uint64) * K1), raw, None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        at = np.flatnonzero(count > max(1, sets // 1000)).astype(np.uint32)
+        cells = at.tobytes() + count[at].tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([None], [None], [sets], [None], [None], [None], [cells]), schema)], schema=schema)
+
+    return spread(texts.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))).mapInArrow(run, SETS)
+
+
+def cell_shares(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """(share of the sets that hold a token of each cell, number of sets): a table of fixed size."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v = np.frombuffer(raw, np.uint32).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, v[0].astype(np.int64)]), pa.array(np.r_[n, v[1].astype(np.int64)])], names=["cell", "n"])
+
+    rows = sets.filter("key is null").select("n", "cells").mapInArrow(unpack, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    share, total = np.zeros(CELLS, np.float32), int(rows.n[rows.cell == -1].sum())
+    body = rows[rows.cell >= 0]
+    share[body.cell.to_numpy()] = body.n.to_numpy() / max(1, total)
+    return np.clip(share, 1 / 1000 / 4, 1.0), total
+
+
+def runs_needed(threshold: float, recall: float) -> int:
+    """Runs until a pair at the threshold meets with the probability `recall` (branching process of depth 3)."""
+    shared, p = 2 * threshold / (1 + threshold) * BRANCH, 1.0
+    for _ in range(3):
+        p = 1 - math.exp(-shared * p)
+    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+
+
+def leaf_paths(x: np.ndarray, share: np.ndarray, total: int, runs: int) -> np.ndarray:
+    """The paths at whose ends set x stands, over all runs."""
+    x64 = mix(x.astype(np.uint64) * K3)
+    size = share[x & np.uint32(CELLS - 1)]
+    limit = np.uint64(min(2**64 - 1, int(2**64 * BRANCH / len(x))))
+    paths, expect, done = mix(np.arange(1, runs + 1, dtype=np.uint64) * K2), np.full(runs, float(total)), []
+    for depth in range(DEPTH):
+        if not len(paths):
+            break
+        step = max(1, 4_000_000 // len(x))
+        hits = [np.nonzero(mix(x64[None, :] ^ paths[i : i + step, None]) <= limit) for i in range(0, len(paths), step)]
+        at = np.concatenate([h[0] + k * step for k, h in enumerate(hits)])
+        tok = np.concatenate([h[1] for h in hits])
+        child, left = mix(paths[at] * K1 + x64[tok]), expect[at] * size[tok]
+        ends = (left <= SMALL) | (depth == DEPTH - 1)
+        done.append(child[ends])
+        paths, expect = child[~ends], left[~ends]
+    return np.unique(np.concatenate(done)) if done else np.array([], np.uint64)
+
+
+def path_rows(sets: DataFrame, share: np.ndarray, total: int, runs: int) -> DataFrame:
+    """(path, cls, s1, s2): where each class ends; copies within a partition count once."""
+    shared = sets.sparkSession.sparkContext.broadcast(share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            path, cls, s1, s2 = [], [], [], []
+            for c, raw, u, v in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if c in seen:
+                    continue
+                seen.add(c)
+                p = leaf_paths(np.frombuffer(raw, np.uint32), shared.value, total, runs)
+                path.append(p.astype(np.int64))
+                cls += [c] * len(p)
+                s1.append(np.full(len(p), u))
+                s2.append(np.full(len(p), v))
+            if cls:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(path)), pa.array(cls, pa.binary()), pa.array(np.concatenate(s1)), pa.array(np.concatenate(s2))], names=["path", "cls", "s1", "s2"])
+
+    return sets.filter("key is not null").select("cls", "items", "s1", "s2").mapInArrow(run, "path bigint, cls binary, s1 bigint, s2 bigint")
+
+
+def least_bits(threshold: float) -> int:
+    """Bits of 128 that the sketches of a pair at the threshold share but in one of a million cases."""
+    p = (1 + threshold) / 2
+    return int(128 * p - 4.75 * math.sqrt(128 * p * (1 - p)))
+
+
+def meeting_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): classes that end at the same path and whose sketches agree, a < b, each pair once."""
+    need = least_bits(threshold)
+    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK).select("path", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_g"))
+    cutting = rows.join(sizes, "path", "left")
+    own = F.pmod(F.xxhash64("cls"), F.col("_g")).cast("int")
+    pairs_of_blocks = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda j: F.least(own, j) * 100_000 + F.greatest(own, j))
+    grouped = cutting.withColumn("_k", F.explode(F.when(F.col("_g").isNull(), F.array(F.lit(-1))).otherwise(pairs_of_blocks)))
+    grouped = grouped.select(F.when(F.col("_k") < 0, F.col("path")).otherwise(F.xxhash64("path", "_k")).alias("grp"), "cls", "s1", "s2")
+    ordered = grouped.repartition("grp").sortWithinPartitions("grp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def compare(t: pa.Table) -> pa.RecordBatch | None:
+            g = t.column(0).to_numpy()
+            s = np.stack([t.column(2).to_numpy(), t.column(3).to_numpy()], 1).view(np.uint64)
+            cls = t.column(1).combine_chunks()
+            edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+            size = np.diff(edges)
+            left, right = [], []
+            for n in np.unique(size[size > 1]):
+                at = edges[:-1][size == n]
+                i, j = np.triu_indices(n, 1)
+                step = max(1, 2_000_000 // len(i))
+                for k in range(0, len(at), step):
+                    u, v = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+                    same = 128 - np.bitwise_count(s[u] ^ s[v]).sum(axis=1, dtype=np.int64)
+                    left.append(u[same >= need])
+                    right.append(v[same >= need])
+            if not left or not (n := sum(map(len, left))):
+                return None
+            a, b = (cls.take(pa.array(np.concatenate(x))) for x in (left, right))
+            pairs = {(min(x, y), max(x, y)) for x, y in zip(a.to_pylist(), b.to_pylist()) if x != y}
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column(0).to_numpy()
+            last = int(np.searchsorted(g, g[-1]))
+            if last:
+                held.append(b.slice(0, last))
+                if (out := compare(pa.Table.from_batches(held))) is not None:
+                    yield out
+                held = [b.slice(last)]
+            elif held and held[-1].column(0)[0].as_py() != g[0]:
+                if (out := compare(pa.Table.from_batches(held))) is not None:
+                    yield out
+                held = [b]
+            else:
+                held.append(b)
+        if held and (out := compare(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return ordered.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def similar_classes(sets: DataFrame, threshold: float = 0.5, recall: float = 0.999) -> DataFrame:
+    """(a, b, similarity): classes of sets at least as similar as the threshold, a < b."""
+    share, total = cell_shares(sets)
+    pairs = cut(meeting_pairs(path_rows(sets, share, total, runs_needed(threshold, recall)), threshold))
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    items = sets.filter("key is not null").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "items", "n")
+    both = pairs.join(items.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sims = []
+            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                sims.append(n / (len(x) + len(y) - n))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(exact, "a binary, b binary, similarity double").filter(F.col("similarity") >= threshold)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): connected components of the edges, named by their least node.
+
+    Large-star/small-star label passing with pointer jumping: each round joins the labels
+    of neighbours and of labels; the lineage is cut after every round, and the rounds grow
+    with the logarithm of the longest path.
+    """
+    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
+    label = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    while True:
+        near = both.join(label.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        step = label.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        jump = step.join(label.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old")
+        jump = cut(jump)
+        label = jump.select("node", "label")
+        if jump.filter(F.col("label") != F.col("old")).isEmpty():
+            return label.withColumnRenamed("label", "component")
+
+
+def members(records: DataFrame, sets: DataFrame, key: str, rel: str) -> DataFrame:
+    """(member, cls): distinct records of each class, joined by the text's key."""
+    own = records.select(F.col(key).cast("string").alias("member"), F.col(rel).cast("string").alias("key")).filter("member is not null and key is not null").distinct()
+    return own.join(sets.filter("key is not null").select("key", "cls").distinct(), "key").select("member", "cls").distinct()
+
+
+def similar_records(records: DataFrame, key: str, rel: str, texts: DataFrame, text_key: str, text: str, width: int = 3, threshold: float = 0.5, recall: float = 0.999) -> DataFrame:
+    """(id_a, id_b): all pairs of distinct records whose texts are similar, equal texts included, id_a < id_b."""
+    sets = stored(set_table(texts, text_key, text, width), "sets")
+    own = cut(members(records, sets, key, rel))
+    links = similar_classes(sets, threshold, recall).select("a", "b")
+    x, y = own.select(F.col("member").alias("x"), F.col("cls").alias("a")), own.select(F.col("member").alias("y"), F.col("cls").alias("b"))
+    within = own.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    pairs = links.union(within).join(x, "a").join(y, "b").filter(F.col("x") != F.col("y"))
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def similar_groups(records: DataFrame, key: str, rel: str, texts: DataFrame, text_key: str, text: str, width: int = 3, threshold: float = 0.5, recall: float = 0.999) -> DataFrame:
+    """(id, group_id, links): a row for each record with a text; its class's links to other classes; the group is the least id that similar texts connect."""
+    sets = stored(set_table(texts, text_key, text, width), "sets")
+    own = cut(members(records, sets, key, rel))
+    links = cut(similar_classes(sets, threshold, recall).select("a", "b"))
+    degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+    group = components(links).withColumnRenamed("node", "cls")
+    full = own.join(degree, "cls", "left").join(group, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = full.groupBy("component").agg(F.min("member").alias("group_id"))
+    return full.join(least, "component").select(F.col("member").alias("id"), "group_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links")).groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("links").alias("links"))

@@ -1,0 +1,106 @@
+"""Sample that matches target category proportions.
+
+Method: swap repair. Records are grouped by category signature (the set of targeted
+categories they carry). A random sample that meets the floors is written as a count for
+each signature; counts are exchanged between signatures while that lowers the deviation
+from the targets; the final counts are materialised by lowest hash in each signature.
+
+The driver sees counts by signature only: at most 2^(number of targets), and as many as
+there are targets for records of one category. Defined cases: records without key or
+category are left out; repeated keys count once; categories without a target may fill
+the sample but have no goal; unknown targets and empty tables give unmet report rows.
+"""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from actaloom.operators.hash_pick import lowest_by_hash
+
+REPORT = T.StructType(
+    [
+        T.StructField("category", T.StringType()),
+        T.StructField("available", T.LongType()),
+        T.StructField("wanted", T.LongType()),
+        T.StructField("sampled", T.LongType()),
+        T.StructField("attainable", T.BooleanType()),
+    ]
+)
+
+
+def signatures(df: DataFrame, key: str, category: str, targets: list[str]) -> DataFrame:
+    """(rec_key, signature): one row a key; the signature joins its targeted categories in order, "" for others."""
+    cat = F.col(category).cast("string")
+    return (
+        df.select(F.col(key).cast("string").alias("rec_key"), cat.alias("_c"))
+        .filter(F.col("rec_key").isNotNull() & F.col("_c").isNotNull())
+        .groupBy("rec_key")
+        .agg(F.sort_array(F.collect_set(F.when(F.col("_c").isin(targets), F.col("_c")))).alias("_s"))
+        .select("rec_key", F.concat_ws("\x1f", "_s").alias("signature"))
+    )
+
+
+def repair(have: dict[str, int], wanted: dict[str, int], floors: dict[str, int], size: int, seed: int) -> dict[str, int]:
+    """Counts by signature of the repaired sample. have: available counts; wanted, floors: goals and least rows by category."""
+    parts = {s: [c for c in s.split("\x1f") if c in wanted] for s in have}
+    rnd, got = random.Random(seed), dict.fromkeys(have, 0)
+    count = lambda c: sum(n for s, n in got.items() if c in parts[s])
+    for c in sorted(wanted, key=lambda c: (sum(n for s, n in have.items() if c in parts[s]), c)):
+        owners = sorted(s for s in have if c in parts[s])
+        rnd.shuffle(owners)
+        for s in owners:
+            got[s] += max(0, min(have[s] - got[s], floors[c] - count(c)))
+    order = sorted(have)
+    rnd.shuffle(order)
+    for fill in ("random", "rest"):
+        for s in order:
+            left = min(have[s] - got[s], max(0, size - sum(got.values())))
+            got[s] += rnd.randint(0, left) if fill == "random" else left
+    step = 1 << max(1, size).bit_length()
+    while step:
+        now, best, pick = {c: count(c) for c in wanted}, 0, None
+        for a in order:
+            for b in order:
+                if a == b or got[a] < step or have[b] - got[b] < step:
+                    continue
+                moved = {c: now[c] + step * ((c in parts[b]) - (c in parts[a])) for c in {*parts[a], *parts[b]}}
+                if any(n < min(floors[c], now[c]) for c, n in moved.items()):
+                    continue
+                if (g := sum(abs(now[c] - wanted[c]) - abs(n - wanted[c]) for c, n in moved.items())) > best:
+                    best, pick = g, (a, b)
+        if pick:
+            got[pick[0]] -= step
+            got[pick[1]] += step
+        else:
+            step >>= 1
+    return got
+
+
+def quota_sample(df: DataFrame, key: str, category: str, targets: DataFrame, size: int | None = None, part: int = 10, salt: str = "quota-v1", seed: int = 46) -> tuple[DataFrame, DataFrame]:
+    """(sample, report). sample: rec_key, signature. report: a row for each target, see REPORT.
+
+    targets: (category, target_share, min_rows), a reference list of at most 1,000 rows.
+    size: rows of the sample, by default floor(distinct keys with a category / part). The
+    goal of a category is the larger of min_rows and floor(target_share * size);
+    attainable says whether as many keys exist.
+    """
+    spark = df.sparkSession
+    rows = targets.select("category", "target_share", "min_rows").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("targets: more than 1000 categories")
+    names = sorted({r["category"] for r in rows if r["category"] is not None})
+    sigs = signatures(df, key, category, names)
+    have = {r["signature"]: r["n"] for r in sigs.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if size is None:
+        size = sum(have.values()) // part
+    wanted = {r["category"]: max(int(r["min_rows"] or 0), int((r["target_share"] or 0.0) * size)) for r in rows if r["category"] is not None}
+    floors = {r["category"]: int(r["min_rows"] or 0) for r in rows if r["category"] is not None}
+    counts = repair(have, wanted, floors, size, seed)
+    tally = lambda by, c: sum(n for s, n in by.items() if c in s.split("\x1f"))
+    report = spark.createDataFrame([(c, tally(have, c), wanted[c], tally(counts, c), tally(have, c) >= wanted[c]) for c in names], REPORT)
+    quotas = spark.createDataFrame([(s, n) for s, n in counts.items() if n], "signature string, take bigint")
+    return lowest_by_hash(sigs, "rec_key", quotas, "signature", salt), report

@@ -11,7 +11,7 @@ Scale: sets that are equal form one class, and only classes go through the join,
 group of copies costs as one record. How many sets hold a token is estimated over all rows
 by a table of fixed size (4 MB), which is all that is broadcast. A bucket that is large all
 the same is cut into blocks whose pairs of blocks are separate groups: nothing is dropped
-and no task holds more than two blocks. Only pairs whose 128-bit sketches agree leave a
+and no task holds more than two blocks. Only pairs whose 256-bit sketches agree leave a
 bucket.
 
 Defined cases: null and blank texts belong to no class; a text of fewer words than a
@@ -79,17 +79,29 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique((s >> S32).astype(np.uint32))
 
 
-SEEDS = mix(np.arange(1, 129, dtype=np.uint64) * K3)
+#: Bins of a sketch, each of two bits; the smallest sets are compared without.
+BINS, SMALLEST = 128, 160
+EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
+SKETCH = ("s1", "s2", "s3", "s4")
 
 
-def sketch(x: np.ndarray) -> tuple[int, int]:
-    """128 bits; each agrees for two sets with a probability of (1 + Jaccard similarity) / 2."""
-    low = np.array([mix(x ^ s).min() for s in SEEDS]) if len(x) > 4096 else mix(x[None, :] ^ SEEDS[:, None]).min(axis=1)
-    bits = np.packbits((low >> np.uint64(40)).astype(np.uint8) & 1).tobytes()
-    return int.from_bytes(bits[:8], "little", signed=True), int.from_bytes(bits[8:], "little", signed=True)
+def sketch(x: np.ndarray) -> tuple[int, ...]:
+    """256 bits: two of the least hash in each of 128 bins, an empty bin taking the next one's.
+
+    A bin of two sets agrees with a probability of (1 + 3 * Jaccard similarity) / 4. Sets
+    under SMALLEST, whose bins are mostly empty, have the sketch 0, which agrees with any.
+    """
+    if len(x) < SMALLEST:
+        return 0, 0, 0, 0
+    m = np.sort(mix(x.astype(np.uint64) * K1))
+    at = np.searchsorted(m, EDGES)
+    bits = (m[np.where(at < len(m), at, 0)] >> np.uint64(20)).astype(np.uint8) & 3
+    raw = np.packbits(np.stack([bits >> 1, bits & 1], 1).astype(np.uint8)).tobytes()
+    return tuple(int.from_bytes(raw[k : k + 8], "little", signed=True) for k in (0, 8, 16, 24))
 
 
-SETS = "key string, cls binary, n int, s1 bigint, s2 bigint, items binary, cells binary"
+SETS = "key string, cls binary, n int, s1 bigint, s2 bigint, s3 bigint, s4 bigint, items binary, cells binary"
+SETS_ARROW = pa.schema([("key", pa.string()), ("cls", pa.binary()), ("n", pa.int32()), *((s, pa.int64()) for s in SKETCH), ("items", pa.binary()), ("cells", pa.binary())])
 
 
 def set_table(texts: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -97,7 +109,7 @@ def set_table(texts: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, sets = np.zeros(CELLS, np.uint32), 0
-        schema = pa.schema([("key", pa.string()), ("cls", pa.binary()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("items", pa.binary()), ("cells", pa.binary())])
+        schema = SETS_ARROW
         for b in batches:
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -105,16 +117,14 @@ def set_table(texts: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     continue
                 x = shingles(t, width)
                 sets += 1
-                count += np.bincount(x & np.uint32(CELLS - 1), minlength=CELLS).astype(np.uint32) if len(x) > CELLS // 8 else 0
-                if len(x) <= CELLS // 8:
-                    np.add.at(count, x & np.uint32(CELLS - 1), 1)
+                np.add.at(count, x & np.uint32(CELLS - 1), 1)
                 raw = x.tobytes()
-                rows.append((k, hashlib.blake2b(raw, digest_size=16).digest(), len(x), *sketch(x.astype(np.uint64) * K1), raw, None))
+                rows.append((k, hashlib.blake2b(raw, digest_size=16).digest(), len(x), *sketch(x), raw, None))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         at = np.flatnonzero(count > max(1, sets // 1000)).astype(np.uint32)
         cells = at.tobytes() + count[at].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([None], [None], [sets], [None], [None], [None], [cells]), schema)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([None], [None], [sets], [None], [None], [None], [None], [None], [cells]), schema)], schema=schema)
 
     return spread(texts.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))).mapInArrow(run, SETS)
 
@@ -153,7 +163,7 @@ def leaf_paths(x: np.ndarray, share: np.ndarray, total: int, runs: int) -> np.nd
         if not len(paths):
             break
         step = max(1, 4_000_000 // len(x))
-        hits = [np.nonzero(mix(x64[None, :] ^ paths[i : i + step, None]) <= limit) for i in range(0, len(paths), step)]
+        hits = [np.nonzero((x64[None, :] ^ paths[i : i + step, None]) * K1 <= limit) for i in range(0, len(paths), step)]
         at = np.concatenate([h[0] + k * step for k, h in enumerate(hits)])
         tok = np.concatenate([h[1] for h in hits])
         child, left = mix(paths[at] * K1 + x64[tok]), expect[at] * size[tok]
@@ -164,93 +174,94 @@ def leaf_paths(x: np.ndarray, share: np.ndarray, total: int, runs: int) -> np.nd
 
 
 def path_rows(sets: DataFrame, share: np.ndarray, total: int, runs: int) -> DataFrame:
-    """(path, cls, s1, s2): where each class ends; copies within a partition count once."""
+    """(path, cls, s1 .. s4): where each class ends; copies within a partition count once."""
     shared = sets.sparkSession.sparkContext.broadcast(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            path, cls, s1, s2 = [], [], [], []
-            for c, raw, u, v in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if c in seen:
-                    continue
-                seen.add(c)
-                p = leaf_paths(np.frombuffer(raw, np.uint32), shared.value, total, runs)
-                path.append(p.astype(np.int64))
-                cls += [c] * len(p)
-                s1.append(np.full(len(p), u))
-                s2.append(np.full(len(p), v))
-            if cls:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(path)), pa.array(cls, pa.binary()), pa.array(np.concatenate(s1)), pa.array(np.concatenate(s2))], names=["path", "cls", "s1", "s2"])
-
-    return sets.filter("key is not null").select("cls", "items", "s1", "s2").mapInArrow(run, "path bigint, cls binary, s1 bigint, s2 bigint")
-
-
-def least_bits(threshold: float) -> int:
-    """Bits of 128 that the sketches of a pair at the threshold share but in one of a million cases."""
-    p = (1 + threshold) / 2
-    return int(128 * p - 4.75 * math.sqrt(128 * p * (1 - p)))
-
-
-def meeting_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): classes that end at the same path and whose sketches agree, a < b, each pair once."""
-    need = least_bits(threshold)
-    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK).select("path", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_g"))
-    cutting = rows.join(sizes, "path", "left")
-    own = F.pmod(F.xxhash64("cls"), F.col("_g")).cast("int")
-    pairs_of_blocks = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda j: F.least(own, j) * 100_000 + F.greatest(own, j))
-    grouped = cutting.withColumn("_k", F.explode(F.when(F.col("_g").isNull(), F.array(F.lit(-1))).otherwise(pairs_of_blocks)))
-    grouped = grouped.select(F.when(F.col("_k") < 0, F.col("path")).otherwise(F.xxhash64("path", "_k")).alias("grp"), "cls", "s1", "s2")
-    ordered = grouped.repartition("grp").sortWithinPartitions("grp")
+            cls, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
+            paths, at = [], []
+            for k, (c, raw) in enumerate(zip(cls, raws)):
+                if c not in seen:
+                    seen.add(c)
+                    paths.append(leaf_paths(np.frombuffer(raw, np.uint32), shared.value, total, runs))
+                    at.append(np.full(len(paths[-1]), k))
+            if at:
+                rows = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).astype(np.int64)), b.column(0).take(rows), *(b.column(k).take(rows) for k in (2, 3, 4, 5))], names=["path", "cls", *SKETCH])
+
+    return sets.filter("key is not null").select("cls", "items", *SKETCH).mapInArrow(run, f"path bigint, cls binary, {', '.join(f'{s} bigint' for s in SKETCH)}")
+
+
+def least_bins(threshold: float) -> int:
+    """Bins that the sketches of a pair at the threshold share but in one of ten thousand cases."""
+    p = (1 + 3 * threshold) / 4
+    return int(BINS * p - 3.7 * math.sqrt(BINS * p * (1 - p)))
+
+
+def compare(groups: pa.Table, need: int) -> pa.RecordBatch | None:
+    """(a, b) of the rows (grp, cls, s1 .. s4), sorted by grp, that share a group and agree in their sketches."""
+    g = groups.column(0).to_numpy()
+    s = np.stack([groups.column(k).to_numpy() for k in (2, 3, 4, 5)], 1).view(np.uint64)
+    free = ~s.any(axis=1)
+    cls = groups.column(1).combine_chunks()
+    edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+    size = np.diff(edges)
+    left, right = [], []
+    for n in np.unique(size[size > 1]):
+        at = edges[:-1][size == n]
+        i, j = np.triu_indices(n, 1)
+        step = max(1, 1_000_000 // len(i))
+        for k in range(0, len(at), step):
+            u, v = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+            x = s[u] ^ s[v]
+            off = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+            good = (off <= BINS - need) | free[u] | free[v]
+            left.append(u[good])
+            right.append(v[good])
+    if not left or not sum(map(len, left)):
+        return None
+    a, b = (cls.take(pa.array(np.concatenate(x))).to_pylist() for x in (left, right))
+    pairs = {(min(x, y), max(x, y)) for x, y in zip(a, b) if x != y}
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+
+
+def bucket_pairs(rows: DataFrame, need: int) -> DataFrame:
+    """(a, b) from rows (grp, cls, s1 .. s4) that are partitioned and sorted by grp, of groups of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def compare(t: pa.Table) -> pa.RecordBatch | None:
-            g = t.column(0).to_numpy()
-            s = np.stack([t.column(2).to_numpy(), t.column(3).to_numpy()], 1).view(np.uint64)
-            cls = t.column(1).combine_chunks()
-            edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
-            size = np.diff(edges)
-            left, right = [], []
-            for n in np.unique(size[size > 1]):
-                at = edges[:-1][size == n]
-                i, j = np.triu_indices(n, 1)
-                step = max(1, 2_000_000 // len(i))
-                for k in range(0, len(at), step):
-                    u, v = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
-                    same = 128 - np.bitwise_count(s[u] ^ s[v]).sum(axis=1, dtype=np.int64)
-                    left.append(u[same >= need])
-                    right.append(v[same >= need])
-            if not left or not (n := sum(map(len, left))):
-                return None
-            a, b = (cls.take(pa.array(np.concatenate(x))) for x in (left, right))
-            pairs = {(min(x, y), max(x, y)) for x, y in zip(a.to_pylist(), b.to_pylist()) if x != y}
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
-
         for b in batches:
             if not b.num_rows:
                 continue
             g = b.column(0).to_numpy()
             last = int(np.searchsorted(g, g[-1]))
-            if last:
+            if last or held and held[-1].column(0)[0].as_py() != g[0]:
                 held.append(b.slice(0, last))
-                if (out := compare(pa.Table.from_batches(held))) is not None:
-                    yield out
-                held = [b.slice(last)]
-            elif held and held[-1].column(0)[0].as_py() != g[0]:
-                if (out := compare(pa.Table.from_batches(held))) is not None:
+                if (out := compare(pa.Table.from_batches(held), need)) is not None:
                     yield out
-                held = [b]
-            else:
-                held.append(b)
-        if held and (out := compare(pa.Table.from_batches(held))) is not None:
+                held = []
+            held.append(b.slice(last))
+        if held and (out := compare(pa.Table.from_batches(held), need)) is not None:
             yield out
 
-    return ordered.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.select("grp", "cls", *SKETCH).mapInArrow(run, "a binary, b binary")
+
+
+def meeting_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): classes that end at the same path and whose sketches agree, a < b, each pair once."""
+    need = least_bins(threshold)
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("path"))).filter(F.col("_n") > 1)
+    small = counted.filter(F.col("_n") <= BLOCK).withColumnRenamed("path", "grp")
+    large = counted.filter(F.col("_n") > BLOCK).withColumn("_g", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("cls"), F.col("_g")).cast("bigint")
+    blocks = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda j: F.least(own, j.cast("bigint")) * 1_000_000 + F.greatest(own, j.cast("bigint")))
+    cut_up = large.withColumn("_k", F.explode(blocks)).withColumn("grp", F.xxhash64("path", "_k")).repartition("grp").sortWithinPartitions("grp")
+    return bucket_pairs(small, need).unionByName(bucket_pairs(cut_up, need)).distinct()
 
 
-def similar_classes(sets: DataFrame, threshold: float = 0.5, recall: float = 0.999) -> DataFrame:
+def similar_classes(sets: DataFrame, threshold: float = 0.5, recall: float = 0.99) -> DataFrame:
     """(a, b, similarity): classes of sets at least as similar as the threshold, a < b."""
     share, total = cell_shares(sets)
     pairs = cut(meeting_pairs(path_rows(sets, share, total, runs_needed(threshold, recall)), threshold))
@@ -295,7 +306,7 @@ def members(records: DataFrame, sets: DataFrame, key: str, rel: str) -> DataFram
     return own.join(sets.filter("key is not null").select("key", "cls").distinct(), "key").select("member", "cls").distinct()
 
 
-def similar_records(records: DataFrame, key: str, rel: str, texts: DataFrame, text_key: str, text: str, width: int = 3, threshold: float = 0.5, recall: float = 0.999) -> DataFrame:
+def similar_records(records: DataFrame, key: str, rel: str, texts: DataFrame, text_key: str, text: str, width: int = 3, threshold: float = 0.5, recall: float = 0.99) -> DataFrame:
     """(id_a, id_b): all pairs of distinct records whose texts are similar, equal texts included, id_a < id_b."""
     sets = stored(set_table(texts, text_key, text, width), "sets")
     own = cut(members(records, sets, key, rel))
@@ -306,7 +317,7 @@ def similar_records(records: DataFrame, key: str, rel: str, texts: DataFrame, te
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def similar_groups(records: DataFrame, key: str, rel: str, texts: DataFrame, text_key: str, text: str, width: int = 3, threshold: float = 0.5, recall: float = 0.999) -> DataFrame:
+def similar_groups(records: DataFrame, key: str, rel: str, texts: DataFrame, text_key: str, text: str, width: int = 3, threshold: float = 0.5, recall: float = 0.99) -> DataFrame:
     """(id, group_id, links): a row for each record with a text; its class's links to other classes; the group is the least id that similar texts connect."""
     sets = stored(set_table(texts, text_key, text, width), "sets")
     own = cut(members(records, sets, key, rel))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actaloom.llm import bpe, packing, sentences, site_lines
+from actaloom.llm import bpe, packing, personal, sentences, site_lines
 from actaloom.session import table
 
 
@@ -15,8 +15,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     """(rel_raw, text): the pages that law_catalog reaches, without their site's lines."""
-    pages, owners = table(spark, d, "raw_pages"), table(spark, d, "law_catalog").select("rel_raw").filter("rel_raw is not null").distinct()
-    return site_lines.without_lines(pages.join(owners, "rel_raw", "left_semi"), "rel_raw", "text", p1_found(spark, d))
+    return site_lines.without_lines(law_pages(spark, d), "rel_raw", "text", p1_found(spark, d))
+
+
+def law_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The raw pages that law_catalog reaches."""
+    owners = table(spark, d, "law_catalog").select("rel_raw").filter("rel_raw is not null").distinct()
+    return table(spark, d, "raw_pages").select("rel_raw", "text").join(owners, "rel_raw", "left_semi")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates and statistics come from all raw pages; the rows are those of pages that law_catalog reaches."""
+    owners = table(spark, d, "law_catalog").select("rel_raw").filter("rel_raw is not null").distinct()
+    return personal.personal_information(table(spark, d, "raw_pages"), "rel_raw", "text").join(owners, "rel_raw", "left_semi")
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """(rel_raw, text): the pages that law_catalog reaches, with typed placeholders."""
+    return personal.redact(law_pages(spark, d), "rel_raw", "text", p2_found(spark, d))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +58,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p8_ids, p8_roundtrip, p9_pack, p9_fill, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_clean, p8_ids, p8_roundtrip, p9_pack, p9_fill, p10_found)}
 
 ORACLE = {
     "p1_found": """

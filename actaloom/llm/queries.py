@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actaloom.llm import bpe, packing, personal, sentences, site_lines
+from actaloom.llm import bpe, packing, personal, scans, sentences, site_lines
 from actaloom.session import table
 
 
@@ -35,6 +35,22 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return personal.redact(law_pages(spark, d), "rel_raw", "text", p2_found(spark, d))
 
 
+def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    pages = table(spark, d, "raw_pages").select(F.col("rel_raw").alias("rel"), "text").filter("rel is not null")
+    scanned = table(spark, d, "pdf_catalog").select(F.col("rel_raw").alias("rel")).filter("rel is not null").distinct()
+    return pages, scanned, *scans.scan_noise(pages, scanned)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d)[2]
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    """(rel_raw, text): the scanned pages as continuous paragraphs."""
+    pages, scanned, cases, repairs = _scans(spark, d)
+    return scans.clean_text(pages.join(scanned, "rel", "left_semi"), cases, repairs)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -58,7 +74,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_clean, p8_ids, p8_roundtrip, p9_pack, p9_fill, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_clean, p3_found, p3_clean, p8_ids, p8_roundtrip, p9_pack, p9_fill, p10_found)}
 
 ORACLE = {
     "p1_found": """

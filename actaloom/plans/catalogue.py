@@ -1,6 +1,6 @@
 """All queries of the core with their SQL."""
 
-from actaloom.plans import problems
+from actaloom.plans import corpus, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+QUERIES = {**corpus.QUERIES, **problems.QUERIES}
+ORACLE = {**corpus.ORACLE, **problems.ORACLE}

@@ -229,20 +229,21 @@ def people(cands: DataFrame) -> DataFrame:
     good = rounds(edges, seeds, NAME_TRUST, NAME_SUPPORT).select("pattern", "trust")
     reached = edges.join(good, "pattern").groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= NAME_SUPPORT).select("item").union(seeds.select("item")).distinct()
     # a mention is trusted by its title or one of its patterns; a token by the share of its distinct mentions that are
-    trusted = sides(n, F.col("rel"), F.col("start")).join(good, "pattern").groupBy("rel", "start").agg(F.max("trust").alias("trust"))
+    trusted = sides(n, F.col("rel"), F.col("start")).join(good, "pattern").groupBy("rel", "start").agg(F.max("trust").alias("trust"), F.count_distinct("pattern").alias("sure"))
     scored = n.join(trusted, ["rel", "start"], "left").withColumn("trust", F.when(F.col("seed") != "", 1.0).otherwise(F.coalesce("trust", F.lit(0.0))))
-    texts = scored.groupBy("text").agg(F.max("trust").alias("trust"), F.first("toks").alias("toks"))  # a phrase counts once, however frequent
-    each = texts.select(F.posexplode("toks").alias("at", "item"), F.size("toks").alias("size"), F.col("trust"), F.col("text"))
+    texts = scored.groupBy("text").agg(F.max("trust").alias("trust"), F.max(F.coalesce("sure", F.lit(0))).alias("sure"), F.first("toks").alias("toks"))  # a phrase counts once, however frequent
+    each = texts.select(F.posexplode("toks").alias("at", "item"), F.size("toks").alias("size"), "trust", "sure", "text")
     hit = F.col("trust") >= NAME_TRUST
     lexicon = (
         each.groupBy("item")
         .agg(
             F.sum(hit.cast("int")).alias("good"),
             F.count(F.lit(1)).alias("n"),
+            F.max("sure").alias("sure"),  # trusted patterns on both sides admit a token met once
             F.sum((hit & (F.col("at") == 0) & ~F.col("text").contains(",")).cast("int")).alias("first"),
             F.sum((hit & (F.col("at") == F.col("size") - 1) & (F.col("at") > 0) & ~F.col("text").contains(",")).cast("int")).alias("last"),
         )
-        .filter((F.col("good") >= 2) & (F.col("good") >= F.lit(0.1) * F.col("n")))
+        .filter((F.col("good") >= 2) & (F.col("good") >= F.lit(0.1) * F.col("n")) | (F.col("sure") >= 2) & (F.col("good") >= F.lit(0.5) * F.col("n")))
         .join(reached, "item", "left_semi")
         .select("item", (F.col("first") > F.col("last")).alias("given"), (F.col("last") >= F.col("first")).alias("family"))
     )

@@ -126,7 +126,7 @@ Key = tuple[str, str, str, str, str, str]
 def features(key: Key) -> list[str]:
     kind, token, mark, gap, follow, script = key
     out = ["bias", f"mark={mark}", f"kind={kind}"]
-    if kind not in ("word", "digit"):
+    if kind != "digit" and len(token) <= 6:
         out.append(f"prev={token}")
     if follow != "end":
         out += [f"next={follow}", f"gap={gap}&mark={mark}", f"mark={mark}&next={follow}", f"kind={kind}&next={follow}", f"script={script}&mark={mark}"]
@@ -155,6 +155,8 @@ def key_at(text: str, start: int, end: int, m: re.Match[str]) -> tuple[int, int,
             sort = "wide" if mark == "……" else "…"
         else:
             sort = "."
+        if sort != "." and kind != "closed":
+            kind = "word"  # only a full stop may belong to an abbreviation
     after = at
     while after < end and text[after].isspace():
         after += 1
@@ -234,6 +236,11 @@ def reliable(texts: list[str]) -> list[tuple[Key, int, int]]:
             for m in loose.finditer(text, start, end):
                 token = token_before(text, start, m.start())
                 small[(kind_of(token, False), token.lower() if len(token) <= 8 else "", ".", "space", "l", "case")] += 1
+    # a short token of many texts that never stands without its full stop, nor at a paragraph's end, is an abbreviation
+    plain = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()))
+    dotted = Counter(w for t in texts for w in re.findall(r"([^\W\d_]+)\.", t.lower()))
+    seen_in = Counter(w for t in texts for w in set(re.findall(r"([^\W\d_]{1,6})\.", t.lower())))
+    short = {w for w, n in seen_in.items() if n >= 20 and dotted[w] == plain[w] and not last[w]}
     out = [(k, 0, n) for k, n in small.items()]
     for k, n in seen.items():
         kind, token, mark, gap, follow, _ = k
@@ -241,6 +248,8 @@ def reliable(texts: list[str]) -> list[tuple[Key, int, int]]:
             out.append((k, 1, n))
         elif follow in "lp":
             out.append((k, 0, n))
+        elif mark == "." and token in short:
+            out.append((k, 0, n))
         elif mark == "." and kind in ("word", "closed") and gap != "none" and follow in "Uo":
             out.append((k, 1, n))
         elif kind not in ("word", "digit", "closed") and total[token] >= 5 and not last[token]:

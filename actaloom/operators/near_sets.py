@@ -40,6 +40,8 @@ BRANCH = 1.5
 DEPTH, SMALL = 8, 24
 #: Classes of one block of a large bucket.
 BLOCK = 2048
+#: Classes with a partner up to which their names (16 bytes each) are broadcast to the set table.
+FEW = 500_000
 #: Cells of the table of token frequencies.
 CELLS = 1 << 20
 WORD = re.compile(r"\w+")
@@ -265,7 +267,9 @@ def similar_classes(sets: DataFrame, threshold: float = 0.5, recall: float = 0.9
     """(a, b, similarity): classes of sets at least as similar as the threshold, a < b."""
     share, total = cell_shares(sets)
     pairs = cut(meeting_pairs(path_rows(sets, share, total, runs_needed(threshold, recall)), threshold))
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    wanted = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)  # else both sides are shuffled
     items = sets.filter("key is not null").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "items", "n")
     both = pairs.join(items.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a").join(items.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b")
 

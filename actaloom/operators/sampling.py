@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from actaloom.operators.hash_pick import lowest_by_hash, priority
 
-SALT = "law-wiki-pilot-precision-v1"
+SALT = "pilot-precision-v1"
 
 
 def precision_sample(edges: DataFrame, n: int, key: str = "assertion_id", stratum: str = "predicate", least: int = 3, salt: str = SALT) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from actaloom.functions import identity as I
 from actaloom.functions import text as T
+from actaloom.functions.markdown import to_html
 from actaloom.operators import facets, families, graph, lint, merge, near_sets, paging, sampling, search, tree
 from actaloom.session import shared_dir, table
+from actaloom.sources import readers
 from actaloom.streaming import ingest
 
 QUERIES, ORACLE = {}, {}
@@ -488,7 +490,7 @@ def label_clashes(s, d):
     return graph.label_clashes(edges(s, d), "evidence", "object")
 
 
-@query("""with r as (select assertion_id, min(predicate) as predicate from connections where assertion_id is not null and predicate is not null group by 1), h as (select *, sha256('law-wiki-pilot-precision-v1:' || assertion_id) as digest from r),
+@query("""with r as (select assertion_id, min(predicate) as predicate from connections where assertion_id is not null and predicate is not null group by 1), h as (select *, sha256('pilot-precision-v1:' || assertion_id) as digest from r),
 k as (select *, row_number() over (partition by predicate order by digest) as rn from h) select assertion_id, predicate, digest from k order by rn > 3, digest limit 100""")
 def stratified_sample(s, d):
     return sampling.precision_sample(edges(s, d), 100)
@@ -583,6 +585,61 @@ def lint_report(s, d):
     return lint.lint_report(law(s, d), pages(s, d), edges(s, d))
 
 
+@query("""with p as (select rel_raw, max(text) as text from raw_pages where rel_raw is not null group by 1)
+select l.csv_row, l.rel_raw, length(coalesce(p.text, '')) as chars from law_catalog l left join p on p.rel_raw = l.rel_raw""")
+def page_join(s, d):
+    return readers.page_text(law(s, d).select("csv_row", "rel_raw"), pages(s, d)).select("csv_row", "rel_raw", F.length("text").cast("bigint").alias("chars"))
+
+
+@query("select 'documents' as stat, count(*) as n from law_catalog union all select 'pdfs', count(distinct pdf_path) from pdf_catalog union all select 'pages', count(distinct rel_raw) from raw_pages")
+def build_stats(s, d):
+    a = law(s, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit("documents").alias("stat"), "n")
+    b = pdf(s, d).agg(F.count_distinct("pdf_path").alias("n")).select(F.lit("pdfs").alias("stat"), "n")
+    return a.unionAll(b).unionAll(pages(s, d).agg(F.count_distinct("rel_raw").alias("n")).select(F.lit("pages").alias("stat"), "n"))
+
+
+@query("select not exists (select id from law_catalog where id is not null except select id from raw_pages) and not exists (select id from raw_pages where id is not null except select id from law_catalog) as same")
+def id_sets_equal(s, d):
+    a, b = (x.select("id").filter("id is not null").distinct().withColumn(n, F.lit(1)) for x, n in ((law(s, d), "a"), (pages(s, d), "b")))
+    return a.join(b, "id", "full_outer").agg((F.coalesce(F.sum((F.col("a").isNull() | F.col("b").isNull()).cast("int")), F.lit(0)) == 0).alias("same"))
+
+
+@query("select coalesce(review_state, 'unknown') as state, coalesce(review_state, '') <> 'accepted' as warning, count(*) as n from connections group by all")
+def review_warning(s, d):
+    rows = edges(s, d).groupBy(F.coalesce("review_state", F.lit("unknown")).alias("state"), (F.coalesce("review_state", F.lit("")) != "accepted").alias("warning"))
+    return rows.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select rel_source from law_catalog where rel_source is not null and not starts_with(rel_source, 'raw/') and not starts_with(rel_source, 'wiki/indexes')")
+def research_filter(s, d):
+    return law(s, d).filter("rel_source is not null").filter(~F.col("rel_source").startswith("raw/") & ~F.col("rel_source").startswith("wiki/indexes")).select("rel_source")
+
+
+@query("select distinct topic as option from law_catalog where coalesce(topic, '') <> ''")
+def select_options(s, d):
+    """Facet options in the order of the Portuguese collation."""
+    return law(s, d).filter(F.coalesce("topic", F.lit("")) != "").select(F.col("topic").alias("option")).distinct().orderBy(F.collate("option", "pt"))
+
+
+@query("""with e as (select assertion_id, min(predicate) as predicate, max(review_state) as state, min(method) as method from connections where assertion_id is not null group by 1)
+select count(*) as candidates, count(distinct predicate) as predicates, count(*) filter (state = 'accepted') as accepted, count(*) filter (coalesce(state, '') <> 'accepted') as queue, count(*) filter (method = 'regex') as by_regex from e""")
+def pilot_report(s, d):
+    e = edges(s, d).filter("assertion_id is not null").groupBy("assertion_id").agg(F.min("predicate").alias("predicate"), F.max("review_state").alias("state"), F.min("method").alias("method"))
+    yes = F.col("state") == "accepted"
+    return e.agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct("predicate").alias("predicates"), F.count_if(yes).alias("accepted"), F.count_if(~F.coalesce(yes, F.lit(False))).alias("queue"), F.count_if(F.col("method") == "regex").alias("by_regex"))
+
+
+@query()
+def markdown_html(s, d):
+    return pages(s, d).filter("text is not null").select("rel_raw", to_html(F.col("text")).alias("html"))
+
+
+@query("select h.object, coalesce(h.n, 0) as inbound, n.label from (select object, count(*) as n from connections where predicate = 'about_topic' and object is not null group by 1) h left join (select 'topic:' || " + SLUG.format("topic") + " as key, min(topic) as label from topic_list group by 1) n on n.key = h.object")
+def hub_labels(s, d):
+    labels = table(s, d, "topic_list").groupBy(F.concat(F.lit("topic:"), T.slugify(F.col("topic"))).alias("object")).agg(F.min("topic").alias("label"))
+    return graph.hubs(edges(s, d).filter("predicate = 'about_topic'")).join(labels, "object", "left").select("object", F.col("n").alias("inbound"), "label")
+
+
 # --- events -------------------------------------------------------------------------------
 @query("select event_type, date_trunc('hour', ts) as hour, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def tumbling_counts(s, d):

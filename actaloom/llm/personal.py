@@ -112,10 +112,15 @@ def candidates(pages: DataFrame, rel: str, text: str) -> DataFrame:
                     sure = "id_number"
                 yield key, "number", m.start(), m.group(), left, right, sure, "phone " * phone + "id_number" * ident
         for m in NAME.finditer(t):
-            if free(*m.span()) and not COMPANY.match(t, m.end()) and not t[max(0, m.start() - 3) : m.start()].rstrip().endswith("&"):
-                left, right = around(t, *m.span())
+            begin, end = m.span()
+            end = min([end, *(x for x, _ in held if x > begin)])  # up to a street that follows on the next line
+            if COMPANY.match(t, end):
+                end = max(begin, t.rfind("\n", begin, end))
+            part = NAME.match(t, begin, end) if end < m.end() else m
+            if part and free(*part.span()) and not t[max(0, begin - 3) : begin].rstrip().endswith("&"):
+                left, right = around(t, *part.span())
                 last = left.rsplit(" ", 1)[-1]
-                yield key, "name", m.start(), m.group(), left, right, "person" if last in TITLES else "", "person"
+                yield key, "name", begin, part.group(), left, right, "person" if last in TITLES else "", "person"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
@@ -167,10 +172,6 @@ def numbers(cands: DataFrame) -> DataFrame:
     return sure.unionByName(near.join(n.filter(F.col("seed") != "").select("rel", "start"), ["rel", "start"], "left_anti").select("rel", F.col("found").alias("kind"), "text"))
 
 
-def first_line(text: str) -> str:
-    return text.split("\n", 1)[0]
-
-
 def runs_of(text: str, known: dict[str, tuple[bool, bool]], sure: bool) -> Iterator[str]:
     """The names within a candidate: longest runs of known tokens, inverted names included.
 
@@ -206,7 +207,7 @@ def runs_of(text: str, known: dict[str, tuple[bool, bool]], sure: bool) -> Itera
     for p in parts:
         w = p[2]
         initial = w.endswith(".") and len(w) == 2 and "\n" not in text[p[1] : p[1] + 2]
-        if initial and run and "\n" in text[run[-1][1] : p[0]]:
+        if run and "\n" in text[run[-1][1] : p[0]] and (initial or len(run) > 1 and family(run[-1][2]) and given(w) or "," in text[run[-1][1] : p[0]]):
             yield from close()
             run = []
         if (w.casefold() in known or initial) and w.casefold() not in TITLES:
@@ -220,10 +221,10 @@ def runs_of(text: str, known: dict[str, tuple[bool, bool]], sure: bool) -> Itera
 def people(cands: DataFrame) -> DataFrame:
     """(rel, kind, text) of persons' names."""
     named = cands.filter(F.col("kind") == "name")
-    line = F.split("text", "\n").getItem(0)
-    words = F.filter(F.split(F.regexp_replace(line, r"(?<!\p{L})(?:d[aoe]s?|e|y|DA|DO|DE|DAS|DOS|E)(?!\p{L})|[,]", " "), r"\s+"), lambda w: (F.length(w) > 2) & ~w.endswith("."))
+    words = F.filter(F.split(F.regexp_replace("text", r"(?<!\p{L})(?:d[aoe]s?|e|y|DA|DO|DE|DAS|DOS|E)(?!\p{L})|[,]", " "), r"\s+"), lambda w: (F.length(w) > 2) & ~w.endswith("."))
     toks = F.transform(words, lambda w: F.lower(w))
-    n = named.select("rel", "start", "text", "left", "right", "seed", toks.alias("toks")).filter(F.size("toks") > 0)
+    # what runs over a line end may be two things, so it is found by the lexicon but teaches nothing
+    n = named.filter(~F.col("text").contains("\n")).select("rel", "start", "text", "left", "right", "seed", toks.alias("toks")).filter(F.size("toks") > 0)
     edges = cut(sides(n, F.explode("toks").alias("item")).distinct())
     seeds = n.filter(F.col("seed") != "").select(F.explode("toks").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("item", F.lit("person").alias("kind"))
     good = rounds(edges, seeds, NAME_TRUST, NAME_SUPPORT).select("pattern", "trust")

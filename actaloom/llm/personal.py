@@ -93,8 +93,13 @@ def candidates(pages: DataFrame, rel: str, text: str) -> DataFrame:
 
     def page(key: str, t: str) -> Iterator[tuple[str, str, int, str, str, str, str, str]]:
         held: list[tuple[int, int]] = []
-        if MAIL_SIGN.search(t):
-            for m in EMAIL.finditer(t):
+        for sign in MAIL_SIGN.finditer(t):
+            a = sign.start()
+            while a > 0 and t[a - 1].isspace() and sign.start() - a < 1:
+                a -= 1
+            while a > 0 and (t[a - 1].isalnum() or t[a - 1] in "._+-"):
+                a -= 1
+            if (m := EMAIL.match(t, a)) and (not held or a >= held[-1][1]):
                 held.append(m.span())
                 yield key, "email", m.start(), m.group(), "", "", "email", ""
         for m in STREET.finditer(t):

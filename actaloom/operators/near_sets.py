@@ -81,23 +81,28 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique((s >> S32).astype(np.uint32))
 
 
-#: Bins of a sketch, each of two bits; the smallest sets are compared without.
+#: Bins of a sketch, each of two bits; sets under SMALLEST have a hash of their own for each bin.
 BINS, SMALLEST = 128, 160
 EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
+SEEDS = mix(np.arange(1, BINS + 1, dtype=np.uint64) * K3)
 SKETCH = ("s1", "s2", "s3", "s4")
 
 
 def sketch(x: np.ndarray) -> tuple[int, ...]:
-    """256 bits: two of the least hash in each of 128 bins, an empty bin taking the next one's.
+    """256 bits: two of a least hash for each of 128 bins.
 
-    A bin of two sets agrees with a probability of (1 + 3 * Jaccard similarity) / 4. Sets
-    under SMALLEST, whose bins are mostly empty, have the sketch 0, which agrees with any.
+    A bin of two sets agrees with a probability of (1 + 3 * Jaccard similarity) / 4. A bin of
+    a large set holds the hashes that fall into it, an empty one takes the next one's; for
+    small sets, whose bins would mostly be empty, each bin hashes the whole set.
     """
+    h = x.astype(np.uint64) * K1
     if len(x) < SMALLEST:
-        return 0, 0, 0, 0
-    m = np.sort(mix(x.astype(np.uint64) * K1))
-    at = np.searchsorted(m, EDGES)
-    bits = (m[np.where(at < len(m), at, 0)] >> np.uint64(20)).astype(np.uint8) & 3
+        low = mix(h[None, :] ^ SEEDS[:, None]).min(axis=1)
+    else:
+        m = np.sort(mix(h))
+        at = np.searchsorted(m, EDGES)
+        low = m[np.where(at < len(m), at, 0)]
+    bits = (low >> np.uint64(20)).astype(np.uint8) & 3
     raw = np.packbits(np.stack([bits >> 1, bits & 1], 1).astype(np.uint8)).tobytes()
     return tuple(int.from_bytes(raw[k : k + 8], "little", signed=True) for k in (0, 8, 16, 24))
 
@@ -176,7 +181,7 @@ def leaf_paths(x: np.ndarray, share: np.ndarray, total: int, runs: int) -> np.nd
 
 
 def path_rows(sets: DataFrame, share: np.ndarray, total: int, runs: int) -> DataFrame:
-    """(path, cls, s1 .. s4): where each class ends; copies within a partition count once."""
+    """(path, cls, n, s1 .. s4): where each class ends; copies within a partition count once."""
     shared = sets.sparkSession.sparkContext.broadcast(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +196,9 @@ def path_rows(sets: DataFrame, share: np.ndarray, total: int, runs: int) -> Data
                     at.append(np.full(len(paths[-1]), k))
             if at:
                 rows = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).astype(np.int64)), b.column(0).take(rows), *(b.column(k).take(rows) for k in (2, 3, 4, 5))], names=["path", "cls", *SKETCH])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).astype(np.int64)), b.column(0).take(rows), *(b.column(k).take(rows) for k in (2, 3, 4, 5, 6))], names=["path", "cls", "n", *SKETCH])
 
-    return sets.filter("key is not null").select("cls", "items", *SKETCH).mapInArrow(run, f"path bigint, cls binary, {', '.join(f'{s} bigint' for s in SKETCH)}")
+    return sets.filter("key is not null").select("cls", "items", "n", *SKETCH).mapInArrow(run, f"path bigint, cls binary, n int, {', '.join(f'{s} bigint' for s in SKETCH)}")
 
 
 def least_bins(threshold: float) -> int:
@@ -202,11 +207,16 @@ def least_bins(threshold: float) -> int:
     return int(BINS * p - 3.7 * math.sqrt(BINS * p * (1 - p)))
 
 
-def compare(groups: pa.Table, need: int) -> pa.RecordBatch | None:
-    """(a, b) of the rows (grp, cls, s1 .. s4), sorted by grp, that share a group and agree in their sketches."""
-    g = groups.column(0).to_numpy()
-    s = np.stack([groups.column(k).to_numpy() for k in (2, 3, 4, 5)], 1).view(np.uint64)
-    free = ~s.any(axis=1)
+def compare(groups: pa.Table, threshold: float) -> pa.RecordBatch | None:
+    """(a, b) of the rows (grp, cls, n, s1 .. s4), sorted by grp, that share a group and whose sizes and sketches agree.
+
+    Sizes of a pair at the threshold differ by its factor at most. A small and a large set
+    have no sketches to compare; if their sizes agree they pass.
+    """
+    need = least_bins(threshold)
+    g, size_of = groups.column(0).to_numpy(), groups.column(2).to_numpy()
+    s = np.stack([groups.column(k).to_numpy() for k in (3, 4, 5, 6)], 1).view(np.uint64)
+    small = size_of < SMALLEST
     cls = groups.column(1).combine_chunks()
     edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
     size = np.diff(edges)
@@ -217,9 +227,11 @@ def compare(groups: pa.Table, need: int) -> pa.RecordBatch | None:
         step = max(1, 1_000_000 // len(i))
         for k in range(0, len(at), step):
             u, v = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
+            near = np.minimum(size_of[u], size_of[v]) >= threshold * np.maximum(size_of[u], size_of[v])
+            u, v = u[near], v[near]
             x = s[u] ^ s[v]
             off = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
-            good = (off <= BINS - need) | free[u] | free[v]
+            good = (off <= BINS - need) | (small[u] != small[v])
             left.append(u[good])
             right.append(v[good])
     if not left or not sum(map(len, left)):
@@ -229,8 +241,8 @@ def compare(groups: pa.Table, need: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
 
-def bucket_pairs(rows: DataFrame, need: int) -> DataFrame:
-    """(a, b) from rows (grp, cls, s1 .. s4) that are partitioned and sorted by grp, of groups of bounded size."""
+def bucket_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) from rows (grp, cls, n, s1 .. s4) that are partitioned and sorted by grp, of groups of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -241,26 +253,25 @@ def bucket_pairs(rows: DataFrame, need: int) -> DataFrame:
             last = int(np.searchsorted(g, g[-1]))
             if last or held and held[-1].column(0)[0].as_py() != g[0]:
                 held.append(b.slice(0, last))
-                if (out := compare(pa.Table.from_batches(held), need)) is not None:
+                if (out := compare(pa.Table.from_batches(held), threshold)) is not None:
                     yield out
                 held = []
             held.append(b.slice(last))
-        if held and (out := compare(pa.Table.from_batches(held), need)) is not None:
+        if held and (out := compare(pa.Table.from_batches(held), threshold)) is not None:
             yield out
 
-    return rows.select("grp", "cls", *SKETCH).mapInArrow(run, "a binary, b binary")
+    return rows.select("grp", "cls", "n", *SKETCH).mapInArrow(run, "a binary, b binary")
 
 
 def meeting_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b): classes that end at the same path and whose sketches agree, a < b, each pair once."""
-    need = least_bins(threshold)
     counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("path"))).filter(F.col("_n") > 1)
     small = counted.filter(F.col("_n") <= BLOCK).withColumnRenamed("path", "grp")
     large = counted.filter(F.col("_n") > BLOCK).withColumn("_g", F.ceil(F.col("_n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("cls"), F.col("_g")).cast("bigint")
     blocks = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda j: F.least(own, j.cast("bigint")) * 1_000_000 + F.greatest(own, j.cast("bigint")))
     cut_up = large.withColumn("_k", F.explode(blocks)).withColumn("grp", F.xxhash64("path", "_k")).repartition("grp").sortWithinPartitions("grp")
-    return bucket_pairs(small, need).unionByName(bucket_pairs(cut_up, need)).distinct()
+    return bucket_pairs(small, threshold).unionByName(bucket_pairs(cut_up, threshold)).distinct()
 
 
 def similar_classes(sets: DataFrame, threshold: float = 0.5, recall: float = 0.99) -> DataFrame:

@@ -74,6 +74,7 @@ def distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+@functools.lru_cache(maxsize=300_000)
 def likeness(a: str, b: str) -> float:
     size = max(len(a), len(b))
     return 1 - distance(a, b, int(size * 0.4)) / size if size else 0.0
@@ -162,4 +163,6 @@ def map_values(df: DataFrame, value: str, reference: DataFrame, entry: str, alia
             yield pd.DataFrame({"value": b["value"], "entry": [mapper(v) for v in b["value"]]})
 
     distinct = df.select(F.col(value).cast("string").alias("value")).filter(F.col("value").isNotNull() & F.col("value").rlike(r"[^\s ]")).distinct()
-    return distinct.mapInPandas(run, "value string, entry string")
+    # few values may be much work: as many tasks as a shuffle has, which adaptive execution leaves alone
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return distinct.repartition(tasks).mapInPandas(run, "value string, entry string")

@@ -162,7 +162,7 @@ def map_values(df: DataFrame, value: str, reference: DataFrame, entry: str, alia
         for b in batches:
             yield pd.DataFrame({"value": b["value"], "entry": [mapper(v) for v in b["value"]]})
 
-    distinct = df.select(F.col(value).cast("string").alias("value")).filter(F.col("value").isNotNull() & F.col("value").rlike(r"[^\s ]")).distinct()
+    distinct = df.select(F.col(value).cast("string").alias("value")).filter(F.col("value").isNotNull() & F.col("value").rlike(r"[^\s\p{Z}]")).distinct()
     # few values may be much work: as many tasks as a shuffle has, which adaptive execution leaves alone
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return distinct.repartition(tasks).mapInPandas(run, "value string, entry string")

@@ -135,7 +135,7 @@ def merged_templates(lines: DataFrame) -> DataFrame:
 def repeated_lines(catalog: DataFrame, site: str, rel: str, pages: DataFrame, page_rel: str, text: str, least_pages: int = PAGES, least_share: float = SHARE) -> DataFrame:
     """(rel_raw, line_no): every line that its site repeats on enough pages."""
     name, key = F.col(site).cast("string"), F.col(rel).cast("string")
-    owners = catalog.select(name.alias("site"), key.alias("rel")).filter(F.col("site").rlike(r"[^\s ]") & F.col("rel").isNotNull()).distinct()
+    owners = catalog.select(name.alias("site"), key.alias("rel")).filter(F.col("site").rlike(r"[^\s\p{Z}]") & F.col("rel").isNotNull()).distinct()
     nodes = page_nodes(pages, page_rel, text).dropDuplicates(["rel"])
     of_site = stored(owners.join(nodes, "rel").select("site", "rel", "nodes"), "site-nodes")
     sizes = of_site.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).withColumn("least", F.greatest(F.lit(float(least_pages)), F.col("pages") * F.lit(float(least_share))))

@@ -76,8 +76,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_clean, p3_found, p3_clean, p8_ids, p8_roundtrip, p9_pack, p9_fill, p10_found)}
 
-ORACLE = {
-    "p1_found": """
+_P1 = """
 with pages as (
   select rel_raw, min(text) as text from raw_pages where rel_raw is not null and text is not null and regexp_matches(text, '[^\\s\\x{00A0}\\x{3000}]') group by rel_raw),
 owners as (select distinct website, rel_raw from law_catalog where website is not null and regexp_matches(website, '[^\\s\\x{00A0}]') and rel_raw is not null),
@@ -87,9 +86,17 @@ lines as (select website, rel_raw, line_no, lower(regexp_replace(line, '\\P{L}',
 frequent as (
   select l.website, l.letters from lines l join sizes s on s.website = l.website where l.letters <> ''
   group by l.website, l.letters, s.pages having count(distinct l.rel_raw) >= 10 and count(distinct l.rel_raw) >= 0.08 * s.pages)
-select distinct l.rel_raw, cast(l.line_no as bigint) as line_no from lines l join frequent f on f.website = l.website and f.letters = l.letters
+"""
+
+ORACLE = {
+    "p1_found": _P1 + "select distinct l.rel_raw, cast(l.line_no as bigint) as line_no from lines l join frequent f on f.website = l.website and f.letters = l.letters",
+    "p1_clean": _P1.rstrip() + """,
+found as (select distinct l.rel_raw, l.line_no from lines l join frequent f on f.website = l.website and f.letters = l.letters),
+own as (select rel_raw, min(text) as text from raw_pages where rel_raw in (select rel_raw from law_catalog) group by rel_raw),
+cut as (select o.rel_raw, coalesce(string_agg(s.line, chr(10) order by s.line_no) filter (d.line_no is null), '') as text
+  from own o join split s on s.rel_raw = o.rel_raw left join found d on d.rel_raw = s.rel_raw and d.line_no = s.line_no
+  where o.rel_raw in (select rel_raw from found) group by o.rel_raw)
+select o.rel_raw, case when c.rel_raw is null then o.text else c.text end as text from own o left join cut c on c.rel_raw = o.rel_raw
 """,
     "p8_roundtrip": "select doc_id, true as same from documents",
-    "p9_fill": None,
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}

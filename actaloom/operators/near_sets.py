@@ -5,7 +5,9 @@ all sets share: from a node of the recursion a set goes on to the children of th
 tokens whose hash with the path lies under a threshold, about `BRANCH` of them. A path ends
 as soon as its bucket is expected to be small; sets that meet at the end of a path are
 compared by brute force. Independent runs are repeated until a pair at the threshold is
-met with the probability `recall`. What meets is then checked exactly.
+met with the probability `recall`: each set makes as many as the length of the paths over its
+most frequent tokens asks, for a partner that holds all of it or is held by it. What meets is
+then checked exactly.
 
 Scale: sets that are equal form one class, and only classes go through the join, so that a
 group of copies costs as one record. How many sets hold a token is estimated over all rows
@@ -21,6 +23,7 @@ count once; a text of any length is one row of the set table.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -152,18 +155,45 @@ def cell_shares(sets: DataFrame) -> tuple[np.ndarray, int]:
     return np.clip(share, 1 / 1000 / 4, 1.0), total
 
 
-def runs_needed(threshold: float, recall: float) -> int:
-    """Runs until a pair at the threshold meets with the probability `recall` (branching process of depth 3)."""
-    shared, p = 2 * threshold / (1 + threshold) * BRANCH, 1.0
-    for _ in range(3):
-        p = 1 - math.exp(-shared * p)
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+#: Parts of a halving in which the shares of tokens are told apart, and groups of a set's tokens.
+STEPS, GROUPS = 8, 8
 
 
-def leaf_paths(x: np.ndarray, share: np.ndarray, total: int, runs: int) -> np.ndarray:
-    """The paths at whose ends set x stands, over all runs."""
+@functools.cache
+def runs_needed(threshold: float, recall: float, need: int, gains: tuple[int, ...]) -> int:
+    """Runs until two sets at the threshold meet with the probability `recall`.
+
+    need: how far a path has to go until its bucket is small; gains: how far each group of the
+    shared tokens takes it, groups being of equal weight; both in parts of a halving, see
+    STEPS. This is the branching process over all DEPTH levels. Of the children of the larger
+    set a part of `threshold` at least is shared: so many if it holds all of the smaller set,
+    more if the two are of like size.
+    """
+    left = np.arange(need + 1)[:, None] - np.array(gains)
+    p = np.ones(need + 1)
+    for _ in range(DEPTH):
+        p[0] = 1.0
+        p = 1 - np.exp(-threshold * BRANCH * p[np.maximum(left, 0)].mean(axis=1))
+    return math.ceil(math.log(1 - recall) / math.log(1 - p[need]))
+
+
+def runs_of(size: np.ndarray, total: int, threshold: float, recall: float) -> int:
+    """Runs of a set with tokens of these shares: enough for each set at the threshold.
+
+    The tokens that a pair shares are a part of `threshold` of either set at least. Taken are
+    the most frequent ones, whose paths are the longest; so neither set of a pair makes fewer
+    runs than the pair needs.
+    """
+    need = max(0, math.ceil(math.log2(max(1, total) / SMALL) * STEPS))
+    gains = np.sort(np.minimum(-np.log2(size) * STEPS + 1e-4, need).astype(np.int64))[: max(1, math.ceil(threshold * len(size)))]
+    return runs_needed(threshold, recall, need, tuple(gains[np.arange(GROUPS) * len(gains) // GROUPS].tolist()))
+
+
+def leaf_paths(x: np.ndarray, share: np.ndarray, total: int, threshold: float, recall: float) -> np.ndarray:
+    """The paths at whose ends set x stands, over all its runs."""
     x64 = mix(x.astype(np.uint64) * K3)
     size = share[x & np.uint32(CELLS - 1)]
+    runs = runs_of(size, total, threshold, recall)
     limit = np.uint64(min(2**64 - 1, int(2**64 * BRANCH / len(x))))
     paths, expect, done = mix(np.arange(1, runs + 1, dtype=np.uint64) * K2), np.full(runs, float(total)), []
     for depth in range(DEPTH):
@@ -180,23 +210,30 @@ def leaf_paths(x: np.ndarray, share: np.ndarray, total: int, runs: int) -> np.nd
     return np.unique(np.concatenate(done)) if done else np.array([], np.uint64)
 
 
-def path_rows(sets: DataFrame, share: np.ndarray, total: int, runs: int) -> DataFrame:
+def path_rows(sets: DataFrame, share: np.ndarray, total: int, threshold: float, recall: float) -> DataFrame:
     """(path, cls, n, s1 .. s4): where each class ends; copies within a partition count once."""
     shared = sets.sparkSession.sparkContext.broadcast(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(b: pa.RecordBatch, paths: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
+            k = pa.array(np.concatenate(at))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).astype(np.int64)), b.column(0).take(k), *(b.column(c).take(k) for c in (2, 3, 4, 5, 6))], names=["path", "cls", "n", *SKETCH])
+
         seen: set[bytes] = set()
         for b in batches:
             cls, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
-            paths, at = [], []
+            paths, at, held = [], [], 0
             for k, (c, raw) in enumerate(zip(cls, raws)):
                 if c not in seen:
                     seen.add(c)
-                    paths.append(leaf_paths(np.frombuffer(raw, np.uint32), shared.value, total, runs))
+                    paths.append(leaf_paths(np.frombuffer(raw, np.uint32), shared.value, total, threshold, recall))
                     at.append(np.full(len(paths[-1]), k))
+                    held += len(paths[-1])
+                    if held > 500_000:
+                        yield rows(b, paths, at)
+                        paths, at, held = [], [], 0
             if at:
-                rows = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths).astype(np.int64)), b.column(0).take(rows), *(b.column(k).take(rows) for k in (2, 3, 4, 5, 6))], names=["path", "cls", "n", *SKETCH])
+                yield rows(b, paths, at)
 
     return sets.filter("key is not null").select("cls", "items", "n", *SKETCH).mapInArrow(run, f"path bigint, cls binary, n int, {', '.join(f'{s} bigint' for s in SKETCH)}")
 
@@ -277,7 +314,7 @@ def meeting_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 def similar_classes(sets: DataFrame, threshold: float = 0.5, recall: float = 0.99) -> DataFrame:
     """(a, b, similarity): classes of sets at least as similar as the threshold, a < b."""
     share, total = cell_shares(sets)
-    pairs = cut(meeting_pairs(path_rows(sets, share, total, runs_needed(threshold, recall)), threshold))
+    pairs = cut(meeting_pairs(path_rows(sets, share, total, threshold, recall), threshold))
     wanted = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)  # else both sides are shuffled

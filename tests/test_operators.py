@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,29 @@ def test_similarity_join_large_bucket_and_edges(spark, monkeypatch):
     assert near_sets.similar_records(df.limit(0), "id", "id", df.limit(0), "id", "text").count() == 0
 
 
+def test_similarity_join_under_skew(spark):
+    rnd = random.Random(7)
+    rows = [(f"o{i:03d}", " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))) for i in range(600)]
+    words = [f"c{rnd.randrange(10**6)}" for _ in range(500)]
+    rows += [(f"s{i:03d}", " ".join(words[: 200 + i])) for i in range(300)]  # a third of all texts hold one another
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = {(r["id_a"], r["id_b"]) for r in near_sets.similar_records(df, "id", "id", df, "id", "text").collect()}
+    near = {(f"s{i:03d}", f"s{j:03d}"): (198 + i) / (198 + j) for i, j in itertools.combinations(range(300), 2)}
+    want = {p for p, s in near.items() if s >= 0.5}
+    assert not got - want
+    edge = {p for p in want if near[p] < 0.6}
+    assert len(got & want) >= 0.99 * len(want) and len(got & edge) >= 0.99 * len(edge)
+
+
+def test_similarity_join_meets_contained_sets_on_long_paths():
+    rnd, share, met = np.random.default_rng(1), np.full(near_sets.CELLS, 1 / 3, np.float32), 0
+    for _ in range(200):
+        y = np.unique(rnd.integers(0, 2**32, 200, dtype=np.uint32))
+        x = np.sort(rnd.permutation(y)[: (len(y) + 1) // 2])  # of similarity 0.5
+        met += bool(len(np.intersect1d(*(near_sets.leaf_paths(s, share, 100_000, 0.5, 0.99) for s in (x, y)))))
+    assert met >= 0.97 * 200
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51), (52, 51)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in near_sets.components(e).collect()}

@@ -416,10 +416,10 @@ DOUBT = f"exists(opts, o -> o.cand <> word and o.weight * {CONFUSION} > own * 0.
 
 
 def options_of(words: DataFrame, model: DataFrame) -> DataFrame:
-    """(word, opts, own): up to five words of the same look with their weights, heaviest first, and the word's own weight."""
+    """(word, opts, own): all words of the same look with their weights, heaviest first, and the word's own weight."""
     proper = model.filter(~F.col("word").rlike(r"[\d@|]") & (F.length("word") > 2))  # only plain words can be meant
     cands = looks(words).join(proper.select("look", F.col("word").alias("cand"), "weight"), "look")
-    options = cands.groupBy("word").agg(F.slice(F.sort_array(F.collect_list(F.struct("weight", "cand")), asc=False), 1, 5).alias("opts"))
+    options = cands.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("weight", "cand")), asc=False).alias("opts"))
     return words.join(options, "word", "left").join(model.select("word", F.col("weight").alias("own")), "word", "left").select("word", "opts", F.coalesce("own", F.lit(0.0)).alias("own"))
 
 

@@ -81,6 +81,15 @@ def test_scan_pieces():
     assert scans.decode(["o", "prec0"], {"prec0": {"prec0": 1e-3, "preço": 50.0}}, {}) == ["o", "preço"]
 
 
+def test_all_words_of_a_look_are_options(spark):
+    words = "cal gal eal qal cai gai eai".split()  # one look
+    model = scans.looks(spark.createDataFrame([(w, 90.0 - k) for k, w in enumerate(words)], "word string, weight double"))
+    row = scans.options_of(spark.createDataFrame([("ea1",)], "word string"), model).first()
+    assert [o["cand"] for o in row["opts"]] == words
+    weights = {o["cand"]: o["weight"] for o in row["opts"]} | {"ea1": 1e-3}
+    assert scans.decode(["um", "ea1"], {"ea1": weights}, {("um", "eai"): 500}) == ["um", "eai"]
+
+
 def test_scan_noise(spark):
     body = "O consumidor pediu a reparação do contador e o tribunal recordou a matéria-prima ao consumidor"
     clean = [(f"c{i}", body + ".\n" + body) for i in range(40)]

@@ -35,7 +35,7 @@ from actaloom.session import cut, spread, stored
 ROUNDS, NUMBER_TRUST, NAME_TRUST, NUMBER_SUPPORT, NAME_SUPPORT = 2, 0.15, 0.6, 1, 2
 
 EMAIL = re.compile(r"[\w.+-]+(?:@|\s?[(\[{]\s?(?:at|arroba|@)\s?[)\]}]\s?| arroba )(?:[\w-]+(?:\.| ?[(\[](?:dot|ponto|\.)[)\]] ?))+[A-Za-z]{2,}")
-MAIL_SIGN = re.compile(r"@|[(\[{]\s?(?:at|arroba)\s?[)\]}]| arroba ", re.I)
+MAIL_SIGN = re.compile(r"[(\[{]\s?(?:at|arroba|@)\s?[)\]}]|@| arroba ", re.I)
 CAP, GAP = r"[A-ZÀ-ÖØ-Þ]", r"(?:[^\S\n]+|[^\S\n]*\n[^\S\n]*)"
 PLACE = rf"{CAP}[\w'’-]*(?:[^\S\n]+(?:d[aoe]s?[^\S\n]+)?{CAP}[\w'’-]*)*"
 STREET = re.compile(

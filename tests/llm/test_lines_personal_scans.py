@@ -72,6 +72,16 @@ def test_personal_information(spark):
     assert personal.personal_information(df.limit(0), "rel_raw", "text").count() == 0
 
 
+def test_mail_signs(spark):
+    signs = ["@", " arroba ", *(f"{sp}{o}{gap}{w}{gap}{c}{sp}" for o, c in ("()", "[]", "{}") for w in ("at", "arroba", "@") for gap in ("", " ") for sp in ("", " "))]
+    dots = [".", *(f"{sp}{o}{w}{c}{sp}" for o, c in ("()", "[]") for w in ("dot", "ponto", ".") for sp in ("", " "))]
+    mails = [f"nome.a-b{s}dominio.pt" for s in signs] + [f"nome@dominio{d}pt" for d in dots] + [f"nome{s}dominio (ponto) pt" for s in signs]
+    pages = spark.createDataFrame([(f"{k:03d}", f"Escreveu, para {m} hoje.") for k, m in enumerate(mails)], "rel string, text string")
+    got = {(r["rel"], r["text"]) for r in personal.candidates(pages, "rel", "text").filter("kind = 'email'").collect()}
+    want = {(f"{k:03d}", m) for k, m in enumerate(mails)}
+    assert got == want == {(k, personal.EMAIL.search(f"Escreveu, para {m} hoje.").group()) for k, m in want}
+
+
 def test_scan_pieces():
     assert scans.fold("rernetido") == scans.fold("remetido") and scans.fold("pr@z0") == scans.fold("prazo")
     assert scans.edits("rernetido", "remetido") == 1 and scans.edits("dir", "eur") > 1

@@ -9,7 +9,7 @@ decided by the counts of both spellings. Page marks, running headers and footers
 by their place at page breaks, by recurrence within a document, and by the shapes of lines
 that recur so across the corpus.
 
-Word counts cover all pages, pair counts all scanned pages. Words, candidates and pairs are
+Word counts and pair counts cover all pages. Words, candidates and pairs are
 joined, never collected; a document's own lines are the largest thing a task holds.
 
 Defined cases: null, blank and repeated pages; documents of one page; pages without marks;
@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actaloom.operators.near_sets import K2, mix
 from actaloom.session import cut, spread, stored
 
 #: Probability of one confusion, weight of a scanned page's word against a clean one's, share of the pair model.
@@ -46,6 +47,7 @@ SAME = {"0": "o", "@": "a", "5": "s", "$": "s", "1": "i", "l": "i", "|": "i", "!
 HYPHENS = "-­¬‐‑"
 ENDS = tuple(HYPHENS)
 WORD = re.compile(r"[^\W_][\w@|]*(?:-[\w@|]+)*|@[\w@|]+(?:-[\w@|]+)*")
+WORD_OR_END = re.compile(rf"\n|{WORD.pattern}")
 BROKEN = re.compile(rf"([^\W\d_][\w@|]*|[@\d][\w@|]*[^\W\d_][\w@|]*|[^\W_]+(?:-[\w@|]+)+)([{HYPHENS}])[^\S\n]*$")
 ROMAN = r"(?=[ivxlc1y])[ivxlc1y]+"
 NUM = r"[\dOolI|sSbB@]{1,4}"
@@ -206,6 +208,17 @@ def parts_of(text: str) -> list[str]:
     return [p for w in WORD.findall(text.lower()) for p in w.split("-") if not p.isdigit() and 0 < len(p) <= 64]
 
 
+def known_pairs(text: str, table: np.ndarray) -> list[tuple[str, str]]:
+    """The pairs of words, see parts_of, within the lines of a text that a bit table may hold."""
+    words = " ".join(WORD_OR_END.findall(text.lower())).replace("-", " ").split(" ")
+    h = hashes(words)
+    at = np.flatnonzero(h)
+    bits = pair_bits(h[at[:-1]], h[at[1:]])
+    hits = np.flatnonzero(table[bits >> 3] >> (bits & 7).astype(np.uint8) & 1)
+    pairs = ((words[i], words[j]) for i, j in zip(at[hits].tolist(), at[hits + 1].tolist()))
+    return [p for p in pairs if "\n" not in p]
+
+
 @lru_cache(100_000)
 def edits(a: str, b: str) -> int:
     """Confusions between two words of the same look.
@@ -230,8 +243,29 @@ def edits(a: str, b: str) -> int:
     return max(1, cost)
 
 
-def bit(*words: str) -> int:
-    return xxhash.xxh3_64_intdigest(" ".join(words)) % BITS
+class Hashes(dict):
+    """Word -> 64-bit hash, 0 for what is no word of a pair; emptied when it gets large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = 0 if word.isdigit() or not 0 < len(word) <= 64 else xxhash.xxh3_64_intdigest(word) | 1
+        return h
+
+
+HASHES = Hashes()
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+
+
+def pair_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (mix(a * K2 ^ mix(b)) % np.uint64(BITS)).astype(np.int64)
+
+
+def bit(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word) % BITS
 
 
 def bit_table(rows: DataFrame) -> np.ndarray:
@@ -239,7 +273,8 @@ def bit_table(rows: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = {bit(*words) for words in zip(*(c.to_pylist() for c in b.columns))}
+            cols = [c.to_pylist() for c in b.columns]
+            at = set(map(bit, *cols)) if len(cols) == 1 else set(pair_bits(*map(hashes, cols)).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int32())], names=["at"])
 
     at = rows.mapInArrow(run, "at int").distinct().toPandas()["at"].to_numpy(np.int64)
@@ -249,16 +284,16 @@ def bit_table(rows: DataFrame) -> np.ndarray:
 
 
 class Known(dict):
-    """Words or pairs -> whether a bit table may hold them."""
+    """Words -> whether a bit table may hold them."""
 
     def __init__(self, table: np.ndarray) -> None:
         super().__init__()
         self.table = table
 
-    def __missing__(self, key: str | tuple[str, str]) -> bool:
+    def __missing__(self, key: str) -> bool:
         if len(self) > 300_000:
             self.clear()
-        at = bit(key) if isinstance(key, str) else bit(*key)
+        at = bit(key)
         self[key] = found = bool(self.table[at >> 3] >> (at & 7) & 1)
         return found
 
@@ -380,7 +415,7 @@ def scan_noise(pages: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFra
     tokens = lines.select("rel", "line_no", F.posexplode("words").alias("at", "word"))
     choice = tokens.join(doubtful, "word").select("rel", "line_no", "word", "own", F.explode("opts").alias("o"))
     opts = choice.groupBy("rel", "line_no").agg(F.collect_set(F.struct("word", "own", F.col("o.cand").alias("cand"), F.col("o.weight").alias("weight"))).alias("opts"))
-    near = pair_counts(own, tokens, opts.select("rel", "line_no"), doubtful)
+    near = pair_counts(pages, own, tokens, opts.select("rel", "line_no"), doubtful)
     ready = lines.join(opts, ["rel", "line_no"]).join(near, ["rel", "line_no"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,8 +464,12 @@ def same_start(a: str, b: str) -> F.Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: F.when((acc == i - 1) & (F.substr(F.col(a), i, F.lit(1)) == F.substr(F.col(b), i, F.lit(1))), i).otherwise(acc))
 
 
-def pair_counts(scans: DataFrame, tokens: DataFrame, asked: DataFrame, doubtful: DataFrame) -> DataFrame:
-    """(rel, line_no, pairs): counts in scanned pages of the word pairs that the doubtful words' candidates may form in each line."""
+def pair_counts(pages: DataFrame, scans: DataFrame, tokens: DataFrame, asked: DataFrame, doubtful: DataFrame) -> DataFrame:
+    """(rel, line_no, pairs): weights in all pages of the word pairs that the doubtful words' candidates may form in each line.
+
+    Pairs of scanned pages weigh as little as their words do, so that a misreading does not
+    speak for itself. Pairs that are in no page have no row.
+    """
     line = tokens.join(asked, ["rel", "line_no"], "left_semi").join(doubtful.select("word", F.transform("opts", lambda o: o["cand"]).alias("cands")), "word", "left")
     choice = line.select("rel", "line_no", "at", F.explode(F.array_union(F.coalesce("cands", F.array().cast("array<string>")), F.array("word"))).alias("w"), F.col("cands").isNotNull().alias("open"))
     a, b = choice.alias("x"), choice.select("rel", "line_no", (F.col("at") - 1).alias("at"), F.col("w").alias("v"), F.col("open").alias("open_v")).alias("y")
@@ -438,15 +477,30 @@ def pair_counts(scans: DataFrame, tokens: DataFrame, asked: DataFrame, doubtful:
     shared = scans.sparkSession.sparkContext.broadcast(bit_table(may.select("a", "b").distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = Known(shared.value), Counter()
+        table, count = shared.value, Counter()
         for b in batches:
+            held, size = [], 0
             for t in b.column(0).to_pylist():
-                for line in t.split("\n"):
-                    words = parts_of(line)
-                    count.update(p for p in zip(words, words[1:]) if known[p])
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in count], pa.string()), pa.array([p[1] for p in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["a", "b", "n"])
+                held.append(t or "")
+                size += len(held[-1])
+                if size > 200_000:
+                    count.update(known_pairs("\n".join(held), table))
+                    held, size = [], 0
+            count.update(known_pairs("\n".join(held), table))
+            if len(count) > 500_000:
+                yield emit(count)
+                count.clear()
+        yield emit(count)
+
+    def emit(count: Counter[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in count], pa.string()), pa.array([p[1] for p in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["a", "b", "n"])
+
+    def counts(texts: DataFrame, name: str) -> DataFrame:
+        return spread(texts).mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias(name))
 
-    corpus = scans.select("text").mapInArrow(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 1")
+    every, own = counts(pages.select("text"), "all"), F.coalesce("own", F.lit(0))
+    corpus = every.join(counts(scans.select("text"), "own"), ["a", "b"], "left")
+    corpus = corpus.select("a", "b", (F.greatest(F.col("all") - own, F.lit(0)) + F.least(own, "all") * SCANNED).alias("n"))
     return may.join(corpus, ["a", "b"]).groupBy("rel", "line_no").agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
 
 

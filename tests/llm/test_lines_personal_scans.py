@@ -100,6 +100,16 @@ def test_all_words_of_a_look_are_options(spark):
     assert scans.decode(["um", "ea1"], {"ea1": weights}, {("um", "eai"): 500}) == ["um", "eai"]
 
 
+def test_pairs_count_in_all_pages(spark):
+    clean = [(f"c{i}", "a cela do preso.\na gela do frigorifico.") for i in range(20)] + [("once", "uma cela vazia."), ("n", None)]
+    scanned = spark.createDataFrame([("s", "uma eela vazia")], "rel string, text string")
+    pages = spark.createDataFrame(clean + [("s", "uma eela vazia")], "rel string, text string")
+    tokens = spark.createDataFrame([("s", 1, k, w) for k, w in enumerate("uma eela vazia".split())], "rel string, line_no bigint, at int, word string")
+    doubtful = spark.createDataFrame([("eela", [("cela",), ("gela",)])], "word string, opts array<struct<cand: string>>")
+    (row,) = scans.pair_counts(pages, scanned, tokens, tokens.select("rel", "line_no").distinct(), doubtful).collect()
+    assert {(p["a"], p["b"]): p["n"] for p in row["pairs"]} == {("uma", "cela"): 1.0, ("cela", "vazia"): 1.0, ("uma", "eela"): scans.SCANNED, ("eela", "vazia"): scans.SCANNED}
+
+
 def test_scan_noise(spark):
     body = "O consumidor pediu a reparação do contador e o tribunal recordou a matéria-prima ao consumidor"
     clean = [(f"c{i}", body + ".\n" + body) for i in range(40)]

@@ -41,6 +41,8 @@ CONFUSION, SCANNED, PAIR = 0.05, 0.05, 0.3
 EVEN = 100
 #: Length under which a line away from a page break may be a header; bits of the tables of words and pairs.
 SHORT, BITS = 48, 1 << 23
+#: Page marks in succession that may be unreadable; lines that a page has besides its mark at least.
+MISSING, BESIDE = 3, 3
 #: Characters that scanners confuse, as the sequences they are folded into. Fixed values.
 WIDE = {"m": "rri", "n": "ri", "u": "ii", "d": "ci", "h": "ii", "w": "vv"}
 SAME = {"0": "o", "@": "a", "5": "s", "$": "s", "1": "i", "l": "i", "|": "i", "!": "i", "6": "b", "9": "c", "g": "c", "q": "c", "e": "c", "t": "f", "y": "v", "8": "b", "3": "3"}
@@ -85,13 +87,14 @@ def marks(lines: list[str]) -> dict[int, str]:
         digits = n.translate(str.maketrans("OolI|sSbB@", "0011155660"))
         value = int(digits) if digits.isdigit() else roman(n.lower().replace("1", "i").replace("y", "v"))
         of = (m.group("of") or "").translate(str.maketrans("OolI|sSbB@", "0011155660"))
-        if of.isdigit() and (value > int(of) or int(of) > 999):
+        if of.isdigit() and value > int(of):
             continue
-        sure = bool(word or m.group("of")) or s[0] in "[-—–(" and s[-1] in "])-—–"
-        if not sure and (not s[-1].isalnum() or value > 400 or not s[0].isalnum()):
+        year = not word and of.isdigit() and int(of) > 999  # may be the number of a case: only a row of them is sure
+        sure = not year and bool(word or m.group("of")) or s[0] in "[-—–(" and s[-1] in "])-—–"
+        if not sure and (not s[-1].isalnum() or not s[0].isalnum()):
             continue
         plain = "roman" if re.search("[ivxy]", n.lower()) else "#"
-        style = (word[:1] + ("/" if m.group("of") else "") + (s[0] if not s[0].isalnum() else "")) or plain
+        style = (word[:1] + ("/" if m.group("of") else "") + (of if year else "") + (s[0] if not s[0].isalnum() else "")) or plain
         by_style.setdefault(style, []).append((i, value, sure))
     out: dict[int, str] = {}
     for style, found in by_style.items():
@@ -103,11 +106,40 @@ def marks(lines: list[str]) -> dict[int, str]:
             if f[1] == (best[-1][1] + 1 if best else 1):
                 best.append(f)
         full = [i for i, line in enumerate(lines) if line.strip()]
-        if len(best) >= 2 or best and best[0][0] in {*full[:3], *full[-3:]}:
+        rising = rising_row(found, full)
+        if len(rising) > max(2, len(best)):
+            out |= dict.fromkeys(rising, style)
+        elif len(best) >= 2 or best and best[0][0] in {*full[:3], *full[-3:]}:
             out |= {i: style for i, _, _ in best}
     return out
 
 
+def rising_row(found: list[tuple[int, int, bool]], full: list[int]) -> list[int]:
+    """Lines of the longest row of marks that rises from any number, unreadable ones left out.
+
+    Between two marks of a row lies a page: numbers on lines that stand together, as in a
+    table, are no row. full: the lines that are not blank.
+    """
+    nth = {i: k for k, i in enumerate(full)}
+    length: list[int] = []
+    before: list[int] = []
+    last: dict[int, list[int]] = {}  # number -> its marks
+    for k, (i, value, _) in enumerate(found):
+        near = [j for v in range(value - MISSING - 1, value) for j in last.get(v, ()) if nth[i] - nth[found[j][0]] > BESIDE * (value - v)]
+        at = max(near, key=lambda j: (length[j], found[j][1], j), default=-1)
+        length.append(length[at] + 1 if near else 1)
+        before.append(at)
+        held = last.setdefault(value, [])
+        if not held or length[k] > max(length[j] for j in held):
+            held.append(k)
+    at = max(range(len(found)), key=lambda k: (length[k], -k), default=-1)
+    row = []
+    while at >= 0:
+        row.append(found[at][0])
+        at = before[at]
+    return row[::-1]
+
+
 def roman(s: str) -> int:
     values, total = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}, 0
     for a, b in zip(s, s[1:] + " "):

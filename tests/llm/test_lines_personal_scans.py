@@ -100,6 +100,17 @@ def test_all_words_of_a_look_are_options(spark):
     assert scans.decode(["um", "ea1"], {"ea1": weights}, {("um", "eai"): 500}) == ["um", "eai"]
 
 
+def test_rows_of_page_marks():
+    def scan(numbers: list) -> tuple[list[str], set[int]]:
+        lines = [x for n in numbers for x in ("um texto", "mais texto", "e ainda", "fim", str(n))]
+        return lines, {i for i in range(4, len(lines), 5) if lines[i] != "#~"}
+
+    for numbers in (range(1, 520), range(37, 45), [1, 2, "#~", 4, 5], [37, 38, "#~", "#~", 41], [f"{n}/1200" for n in range(1, 9)], range(1190, 1206)):
+        lines, want = scan(list(numbers))
+        assert set(scans.marks(lines)) == want
+    assert not scans.marks(["a", "5", "6", "7", "8", "b"]) and not scans.marks(["a", "x", "y", "z", "45/2019", "b", "c", "d", "e"])
+
+
 def test_pairs_count_in_all_pages(spark):
     clean = [(f"c{i}", "a cela do preso.\na gela do frigorifico.") for i in range(20)] + [("once", "uma cela vazia."), ("n", None)]
     scanned = spark.createDataFrame([("s", "uma eela vazia")], "rel string, text string")

@@ -212,7 +212,7 @@ def ignore_paths(s, d):
 select c.assertion_id, c.evidence, contains(p.text, c.evidence) as supported from c join p using (id)""")
 def evidence_contains(s, d):
     text = pages(s, d).filter("text is not null").groupBy("id").agg(F.max("text").alias("text"))
-    claims = edges(s, d).filter("subject like 'document:%' and evidence <> ''").select("assertion_id", F.substring("subject", 10, 100).alias("id"), "evidence").distinct()
+    claims = edges(s, d).filter("subject like 'document:%' and evidence <> ''").select("assertion_id", F.expr("substr(subject, 10)").alias("id"), "evidence").distinct()
     return claims.join(text, "id").select("assertion_id", "evidence", F.col("text").contains(F.col("evidence")).alias("supported"))
 
 
@@ -397,7 +397,7 @@ def orphans(s, d):
 select id, id in (select id from c) as catalog, id in (select id from p) as page, id in (select id from e) as edge from (select id from c union select id from p union select id from e)
 where not (id in (select id from c) and id in (select id from p) and id in (select id from e))""")
 def parity(s, d):
-    e = edges(s, d).filter("subject like 'document:%'").select(F.substring("subject", 10, 100).alias("id"))
+    e = edges(s, d).filter("subject like 'document:%'").select(F.expr("substr(subject, 10)").alias("id"))
     return lint.parity({"catalog": law(s, d), "page": pages(s, d), "edge": e}, "id")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
+
+import pandas as pd
 import pytest
 from compare import differ
 from conftest import DATA
@@ -21,6 +24,20 @@ def test_runs(spark, name):
     df.count()
 
 
+@pytest.mark.parametrize("name", ["evidence_contains", "parity"])
+def test_long_ids(spark, tmp_path, name):
+    long = "x" * 150
+    for t in ("law_catalog", "pdf_catalog"):
+        shutil.copy(f"{DATA}/{t}.parquet", tmp_path)
+    pages = pd.read_parquet(f"{DATA}/raw_pages.parquet", dtype_backend="pyarrow")
+    pages.loc[pages.index[pages["text"].notna()][0], "id"] = long
+    pages.to_parquet(tmp_path / "raw_pages.parquet")
+    edges = pd.read_parquet(f"{DATA}/connections.parquet", dtype_backend="pyarrow")
+    edges.loc[edges.index[edges["subject"].str.startswith("document:") & (edges["evidence"] != "")][0], "subject"] = f"document:{long}"
+    edges.to_parquet(tmp_path / "connections.parquet")
+    assert not differ(spark, str(tmp_path), catalogue.QUERIES[name], catalogue.ORACLE[name])
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from actaloom.operators.graph import components
 from actaloom.session import cut, spread, stored
 
 #: Expected number of children of a set at each node.
@@ -333,25 +334,6 @@ def similar_classes(sets: DataFrame, threshold: float = 0.5, recall: float = 0.9
     return both.select("a", "b", "x", "y").mapInArrow(exact, "a binary, b binary, similarity double").filter(F.col("similarity") >= threshold)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): connected components of the edges, named by their least node.
-
-    Large-star/small-star label passing with pointer jumping: each round joins the labels
-    of neighbours and of labels; the lineage is cut after every round, and the rounds grow
-    with the logarithm of the longest path.
-    """
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
-    label = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
-    while True:
-        near = both.join(label.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = label.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = step.join(label.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old")
-        jump = cut(jump)
-        label = jump.select("node", "label")
-        if jump.filter(F.col("label") != F.col("old")).isEmpty():
-            return label.withColumnRenamed("label", "component")
-
-
 def members(records: DataFrame, sets: DataFrame, key: str, rel: str) -> DataFrame:
     """(member, cls): distinct records of each class, joined by the text's key."""
     own = records.select(F.col(key).cast("string").alias("member"), F.col(rel).cast("string").alias("key")).filter("member is not null and key is not null").distinct()

@@ -47,10 +47,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset a temporary folder takes its place, but only on one machine (tests);
+    on a cluster each executor would write to its own disk, so that raises an error.
+    """
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None) or os.environ.get("ACTALOOM_SHARED_DIR")
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="actaloom-")
         os.environ["ACTALOOM_SHARED_DIR"] = where
     if sc.getCheckpointDir() is None:
@@ -58,6 +64,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, below the shared one; see clear."""
+    return f"{shared_dir(spark)}/actaloom-{spark.sparkContext.applicationId}"
+
+
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """(file system, path) of the JVM for a path on any store."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application. Results that were not yet written are lost."""
+    fs, path = file_system(spark, run_dir(spark))
+    fs.delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -65,8 +89,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once as parquet in the shared folder and read again (column pruning holds for later readers)."""
+    """df written once as parquet in the run's folder and read again (column pruning holds for later readers)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -81,7 +81,7 @@ def test_similarity_join_meets_contained_sets_on_long_paths():
 
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51), (52, 51)], "a bigint, b bigint")
-    got = {r["node"]: r["component"] for r in near_sets.components(e).collect()}
+    got = {r["node"]: r["component"] for r in graph.components(e).collect()}
     assert {got[i] for i in range(1, 31)} == {1} and {got[i] for i in (50, 51, 52)} == {50}
 
 

@@ -1,12 +1,12 @@
-"""Queries of the text problems, each over its whole tables and whole texts."""
+"""Queries of the training-data problems, each over its whole tables and whole texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actaloom.llm import bpe, packing, personal, scans, sentences, site_lines
-from actaloom.session import table
+from actaloom.llm import bpe, ledger, mapping, near_sets, packing, personal, quota, scans, sentences, site_lines
+from actaloom.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +51,51 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return scans.clean_text(pages.join(scanned, "rel", "left_semi"), cases, repairs)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_sets.similar_records(table(spark, d, "law_catalog"), "id", "rel_raw", table(spark, d, "raw_pages"), "rel_raw", "text")
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_sets.similar_groups(table(spark, d, "law_catalog"), "id", "rel_raw", table(spark, d, "raw_pages"), "rel_raw", "text")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """(id, topic): records whose topic_raw is not a topic letter for letter."""
+    rows, topics = table(spark, d, "law_catalog"), table(spark, d, "topic_list")
+    typed = rows.select("id", F.col("topic_raw").alias("value")).filter(F.col("id").isNotNull() & F.col("value").isNotNull()).distinct()
+    typed = typed.join(F.broadcast(topics.select(F.col("topic").alias("value")).distinct()), "value", "left_anti")  # a list of fixed size
+    mapped = cut(mapping.map_values(typed, "value", topics, "topic", "aliases"))
+    return typed.join(mapped, "value").select("id", F.col("entry").alias("topic")).distinct()
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """(topic_raw, records): typed values without an entry, with the number of their rows."""
+    rows, topics = table(spark, d, "law_catalog"), table(spark, d, "topic_list")
+    lost = mapping.map_values(rows, "topic_raw", topics, "topic", "aliases").filter(F.col("entry") == mapping.UNMAPPED)
+    return rows.join(lost.withColumnRenamed("value", "topic_raw"), "topic_raw").groupBy("topic_raw").agg(F.count(F.lit(1)).alias("records"))
+
+
+def p6_sample(spark: SparkSession, d: str) -> DataFrame:
+    """(id, step): a tenth of the distinct ids, by the ledger of this folder's catalog."""
+    rows = table(spark, d, "law_catalog")
+    kept = ledger.grow(rows, "id", "imported", 0.1, ledger.ledger_path(spark, d, "law_catalog", "id", 0.1))
+    return ledger.present(kept, rows, "id").select(F.col("sample_key").alias("id"), "step")
+
+
+def p7_sample(spark: SparkSession, d: str) -> DataFrame:
+    sample, _ = quota.quota_sample(table(spark, d, "connections"), "assertion_id", "predicate", table(spark, d, "sample_targets").withColumnRenamed("predicate", "category"))
+    return sample.select(F.col("rec_key").alias("assertion_id"), F.col("signature").alias("predicate"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    _, report = quota.quota_sample(table(spark, d, "connections"), "assertion_id", "predicate", table(spark, d, "sample_targets").withColumnRenamed("predicate", "category"))
+    return report.withColumnRenamed("category", "predicate")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_report(spark, d).filter(~F.col("attainable")).select("predicate").distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -74,7 +119,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_clean, p3_found, p3_clean, p8_ids, p8_roundtrip, p9_pack, p9_fill, p10_found)}
+def near_dup_documents(spark: SparkSession, d: str) -> DataFrame:
+    """(id, group_id, links): five words, a similarity of 0.8 or more; a row for each document with a text."""
+    docs = table(spark, d, "documents")
+    return near_sets.similar_groups(docs, "doc_id", "doc_id", docs, "doc_id", "text", width=5, threshold=0.8)
+
+
+QUERIES = {f.__name__: f for f in (near_dup_documents, p1_found, p1_clean, p2_found, p2_clean, p3_found, p3_clean, p4_found, p4_groups, p5_found, p5_unmatched, p6_sample, p7_found, p7_sample, p7_report, p8_ids, p8_roundtrip, p9_pack, p9_fill, p10_found)}
 
 _P1 = """
 with pages as (
@@ -88,7 +139,16 @@ frequent as (
   group by l.website, l.letters, s.pages having count(distinct l.rel_raw) >= 10 and count(distinct l.rel_raw) >= 0.08 * s.pages)
 """
 
+_AVAILABLE = """
+with ids as (select distinct assertion_id, predicate from connections where assertion_id is not null and predicate is not null),
+size as (select count(distinct assertion_id) // 10 as n from ids),
+have as (select predicate, count(distinct assertion_id) as available from ids group by predicate),
+goal as (select t.predicate, coalesce(h.available, 0) as available, greatest(t.min_rows, cast(floor(t.target_share * size.n) as bigint)) as wanted
+  from sample_targets t cross join size left join have h on h.predicate = t.predicate where t.predicate is not null)
+"""
+
 ORACLE = {
+    "p7_found": _AVAILABLE + "select distinct predicate from goal where available < wanted",
     "p1_found": _P1 + "select distinct l.rel_raw, cast(l.line_no as bigint) as line_no from lines l join frequent f on f.website = l.website and f.letters = l.letters",
     "p1_clean": _P1.rstrip() + """,
 found as (select distinct l.rel_raw, l.line_no from lines l join frequent f on f.website = l.website and f.letters = l.letters),

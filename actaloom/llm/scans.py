@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actaloom.operators.near_sets import K2, mix
+from actaloom.llm.near_sets import K2, mix
 from actaloom.session import cut, spread, stored
 
 #: Probability of one confusion, weight of a scanned page's word against a clean one's, share of the pair model.

@@ -1,6 +1,5 @@
 """All queries of the core with their SQL."""
 
-from actaloom.plans import corpus, problems
+from actaloom.plans.corpus import ORACLE, QUERIES
 
-QUERIES = {**corpus.QUERIES, **problems.QUERIES}
-ORACLE = {**corpus.ORACLE, **problems.ORACLE}
+__all__ = ["ORACLE", "QUERIES"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from actaloom.functions import identity as I
 from actaloom.functions import text as T
 from actaloom.functions.markdown import to_html
-from actaloom.operators import facets, families, graph, lint, merge, near_sets, paging, sampling, search, tree
+from actaloom.operators import facets, families, graph, lint, merge, paging, sampling, search, tree
 from actaloom.session import shared_dir, table
 from actaloom.sources import readers
 from actaloom.streaming import ingest
@@ -279,13 +279,6 @@ def dup_of_links(s, d):
     return families.duplicate_of(table(s, d, "documents"), "doc_id", "text")
 
 
-@query()
-def near_dup_documents(s, d):
-    """(id, group_id, links): five words, a similarity of 0.8 or more; a row for each document with a text."""
-    docs = table(s, d, "documents")
-    return near_sets.similar_groups(docs, "doc_id", "doc_id", docs, "doc_id", "text", width=5, threshold=0.8)
-
-
 @query("""with q as (select vec_id, embedding from embeddings where vec_id % 50 = 0),
 s as (select q.vec_id as query, e.vec_id as key, list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])) as cosine from q cross join embeddings e where q.vec_id <> e.vec_id)
 select query, key, round(cosine, 6) as cosine, rank from (select *, row_number() over (partition by query order by round(cosine, 9) desc, key) as rank from s) where rank <= 10""")

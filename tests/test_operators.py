@@ -1,103 +1,18 @@
 from __future__ import annotations
 
-import itertools
-import random
-import re
-
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from actaloom.operators import families, graph, hash_pick, ledger, mapping, merge, near_sets, quota, sampling, tree
+from actaloom.operators import families, graph, hash_pick, merge, sampling, tree
 from actaloom.streaming import ingest
 
 
-def jaccard(a: str, b: str, width: int) -> float:
-    def sets(t: str) -> set:
-        w = re.findall(r"\w+", t.lower())
-        return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or {tuple(w)}
-
-    x, y = sets(a), sets(b)
-    return len(x & y) / len(x | y)
-
-
-def texts(seed: int, n: int) -> list[tuple[str, str]]:
-    rnd = random.Random(seed)
-    vocab = [f"w{k}" for k in range(400)]
-    base = [" ".join(rnd.choices(vocab, k=rnd.randint(3, 120))) for _ in range(n)]
-    for k in range(0, n, 3):
-        words = base[k].split()
-        for _ in range(max(1, len(words) // 25)):
-            words[rnd.randrange(len(words))] = rnd.choice(vocab)
-        base.append(" ".join(words))
-    base += [base[0], base[1], base[1]]
-    return [(f"k{i:04d}", t) for i, t in enumerate(base)]
-
-
-def test_similarity_join_against_brute_force(spark):
-    rows = texts(1, 120)
-    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "id string, text string, cls string")
-    got = {(r["id_a"], r["id_b"]) for r in near_sets.similar_records(df, "id", "id", df, "id", "text").collect()}
-    want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if jaccard(x, y, 3) >= 0.5}
-    assert not got - want
-    assert len(got & want) >= 0.99 * len(want)
-
-
-def test_similarity_join_large_bucket_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(near_sets, "BLOCK", 8)
-    shared = " ".join(f"s{k}" for k in range(60))
-    rows = [(f"k{i:03d}", f"{shared} own{i} extra{i}") for i in range(40)] + [("n1", None), ("n2", "  "), ("e1", "uma só"), ("e2", "Uma SÓ!"), (None, "uma só"), ("long", "a b c " * 60_000)]
-    df = spark.createDataFrame(rows, "id string, text string")
-    got = {(r["id_a"], r["id_b"]) for r in near_sets.similar_records(df, "id", "id", df, "id", "text").collect()}
-    assert {(a, b) for a, b in got if a[0] == "k"} == set(itertools.combinations([f"k{i:03d}" for i in range(40)], 2))
-    assert {(a, b) for a, b in got if a[0] != "k"} == {("e1", "e2")}
-    groups = {r["id"]: r["group_id"] for r in near_sets.similar_groups(df, "id", "id", df, "id", "text").collect()}
-    assert {groups[f"k{i:03d}"] for i in range(40)} == {"k000"} and groups["e2"] == "e1" and groups["long"] == "long"
-    assert near_sets.similar_records(df.limit(0), "id", "id", df.limit(0), "id", "text").count() == 0
-
-
-def test_similarity_join_under_skew(spark):
-    rnd = random.Random(7)
-    rows = [(f"o{i:03d}", " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))) for i in range(600)]
-    words = [f"c{rnd.randrange(10**6)}" for _ in range(500)]
-    rows += [(f"s{i:03d}", " ".join(words[: 200 + i])) for i in range(300)]  # a third of all texts hold one another
-    df = spark.createDataFrame(rows, "id string, text string")
-    got = {(r["id_a"], r["id_b"]) for r in near_sets.similar_records(df, "id", "id", df, "id", "text").collect()}
-    near = {(f"s{i:03d}", f"s{j:03d}"): (198 + i) / (198 + j) for i, j in itertools.combinations(range(300), 2)}
-    want = {p for p, s in near.items() if s >= 0.5}
-    assert not got - want
-    edge = {p for p in want if near[p] < 0.6}
-    assert len(got & want) >= 0.99 * len(want) and len(got & edge) >= 0.99 * len(edge)
-
-
-def test_similarity_join_meets_contained_sets_on_long_paths():
-    rnd, share, met = np.random.default_rng(1), np.full(near_sets.CELLS, 1 / 3, np.float32), 0
-    for _ in range(200):
-        y = np.unique(rnd.integers(0, 2**32, 200, dtype=np.uint32))
-        x = np.sort(rnd.permutation(y)[: (len(y) + 1) // 2])  # of similarity 0.5
-        met += bool(len(np.intersect1d(*(near_sets.leaf_paths(s, share, 100_000, 0.5, 0.99) for s in (x, y)))))
-    assert met >= 0.97 * 200
-
-
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51), (52, 51)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in graph.components(e).collect()}
     assert {got[i] for i in range(1, 31)} == {1} and {got[i] for i in (50, 51, 52)} == {50}
 
 
-def test_mapping(spark):
-    ref = spark.createDataFrame([("Água", ["agua da rede"]), ("Gás canalizado", []), ("Obras em habitação", None)], "topic string, aliases array<string>")
-    cases = {
-        "GAS CANALIZADO": "Gás canalizado", "Gás canalziado": "Gás canalizado", "T12 - Gás_canalizado ?": "Gás canalizado", "GÃ¡s canalizado": "Gás canalizado", "Obrasemhabitação": "Obras em habitação",
-        "habitação, Obras em": "Obras em habitação", "Obras em habi.": "Obras em habitação", "água da rede": "Água", "Astrologia": "unmapped", "???": "unmapped", "x" * 5000: "unmapped",
-    }
-    df = spark.createDataFrame([(v, 1) for v in cases] * 2 + [(None, 1), ("  ", 1), (" ", 1)], "value string, entry int")
-    assert {r["value"]: r["entry"] for r in mapping.map_values(df, "value", ref, "topic", "aliases").collect()} == cases
-    assert mapping.map_values(df.limit(0), "value", ref, "topic", "aliases").count() == 0
-    empty = mapping.map_values(df, "value", ref.limit(0), "topic", "aliases").select("entry").distinct().collect()
-    assert [r["entry"] for r in empty] == ["unmapped"]
-
-
 def test_lowest_by_hash_is_exact(spark):
     rows = [(f"k{i}", "hot" if i % 3 else f"g{i % 5}") for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, g string").withColumn("p", hash_pick.priority("k", "s"))
@@ -109,38 +24,6 @@ def test_lowest_by_hash_is_exact(spark):
     assert {r["g"] for r in got} == {"hot", "g0"}
 
 
-def test_ledger_is_stable(spark, tmp_path):
-    rows = [(f"id{i}", f"2024-{1 + i % 12:02d}-01") for i in range(500)]
-    first = spark.createDataFrame(rows + rows[:50] + [(None, "2024-01-01"), ("odd", None), ("bad", "soon")], "id string, imported string")
-    a = ledger.grown_sample(first, "id", "imported", 0.1, str(tmp_path / "a"))
-    b = ledger.grown_sample(first.repartition(7), "id", "imported", 0.1, str(tmp_path / "b"))
-    x, y = ({r["sample_key"] for r in s.collect()} for s in (a, b))
-    assert x == y and len(x) == 51
-    more = first.union(spark.createDataFrame([(f"new{i}", "2025-03-01") for i in range(300)], "id string, imported string"))
-    z = {r["sample_key"] for r in ledger.grown_sample(more, "id", "imported", 0.1, str(tmp_path / "c")).collect()}
-    assert x <= z and len(z) == 81
-    step = {r["sample_key"] for r in ledger.advance_ledger(more.filter("id not like 'id1%'"), "id", str(tmp_path / "a"), 5, 0.1).collect()}
-    assert x <= step  # deleted records stay
-    assert ledger.grown_sample(first.limit(0), "id", "imported", 0.1, str(tmp_path / "d")).count() == 0
-
-
-def test_quota(spark):
-    rows = [(f"a{i}", "big") for i in range(800)] + [(f"b{i}", "mid") for i in range(150)] + [(f"c{i}", "rare") for i in range(2)] + [(f"d{i}", "other") for i in range(48)]
-    df = spark.createDataFrame(rows + rows[:100] + [(None, "big"), ("z", None)], "id string, cat string")
-    targets = spark.createDataFrame([("big", 0.5, 5), ("mid", 0.4, 5), ("rare", 0.05, 3), ("never", 0.05, 1), (None, 0.1, 1)], "category string, target_share double, min_rows bigint")
-    sample, report = quota.quota_sample(df, "id", "cat", targets, size=100)
-    got = {r["category"]: r for r in report.collect()}
-    assert [got[c]["wanted"] for c in ("big", "mid", "rare", "never")] == [50, 40, 5, 5]
-    assert got["rare"]["sampled"] == 2 and not got["rare"]["attainable"] and not got["never"]["attainable"]
-    assert got["big"]["sampled"] >= 50 and got["mid"]["sampled"] >= 40
-    keys = [r["rec_key"] for r in sample.collect()]
-    assert len(keys) == len(set(keys)) == 100
-    again, _ = quota.quota_sample(df.repartition(9), "id", "cat", targets, size=100)
-    assert {r["rec_key"] for r in again.collect()} == set(keys)
-    none, empty = quota.quota_sample(df.limit(0), "id", "cat", targets)
-    assert none.count() == 0 and not any(r["attainable"] for r in empty.collect() if r["wanted"])
-
-
 def test_precision_sample(spark):
     rows = [(f"conn_{i:024x}", ("about_topic", "cites_instrument", "document_of")[i % 3]) for i in range(30)]
     a = sampling.precision_sample(spark.createDataFrame(rows, "assertion_id string, predicate string"), 12).collect()

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from actaloom.session import spread
 
-#: Pieces whose ids a worker keeps.
-PIECES = 300_000
+#: Pieces whose ids a worker keeps; characters of the longest one, so that they take some 100 MB at most.
+PIECES, LONGEST = 300_000, 64
 #: White space by Unicode's property.
 SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -162,8 +162,9 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= PIECES:
             self.clear()
-        ids = self.encode(piece.encode("utf-8", "replace").decode("latin-1"))
-        self[piece] = raw = np.array(ids, "<i4").tobytes()
+        raw = np.array(self.encode(piece.encode("utf-8", "replace").decode("latin-1")), "<i4").tobytes()
+        if len(piece) <= LONGEST:
+            self[piece] = raw
         return raw
 
     def ids_of(self, text: str | None) -> bytes:
@@ -195,7 +196,9 @@ class Runs(dict):
     def __missing__(self, run: str) -> bytes:
         if len(self) >= PIECES:
             self.clear()
-        self[run] = raw = b"".join(map(self.owner.__getitem__, pieces().findall(" " + run)))
+        raw = b"".join(map(self.owner.__getitem__, pieces().findall(" " + run)))
+        if len(run) <= LONGEST:
+            self[run] = raw
         return raw
 
 

@@ -2,14 +2,15 @@
 
 Method: space-filling-curve order. Each text is a vector, hashed from its tokens and
 projected to few dimensions; its Hilbert key gives its place along the curve, so that
-neighbours are alike. The curve is cut into stretches of about `STRETCH` texts, and each
-stretch is packed by best fit, longest first within a block of neighbours, with a bounded
+neighbours are alike. The curve is cut into stretches of about `STRETCH` texts by ranges of
+the whole key, and each stretch is packed by best fit, longest first within a block of neighbours, with a bounded
 number of open containers carried along the curve.
 
 A text is split only if it exceeds the capacity: into full containers and a rest that is
-packed like any other item. Stretches come from a histogram of at most 65,536 key prefixes;
-a prefix of many texts (copies share their key) is cut further by the hash of its texts'
-keys, so no task grows with a hot group. All is a function of the data: reruns and other
+packed like any other item. Stretches come from two histograms: one of the 65,536 prefixes of
+16 bits, and within the prefixes of many texts one of the other 16 bits. Only texts of one and
+the same key (copies, above all), if they are more than a stretch, are cut by the hash of
+their own keys, so no task grows with a hot group. All is a function of the data: reruns and other
 partitionings give the same containers.
 
 Defined cases: null and empty texts are items of size 0 and take no space; capacities must be
@@ -32,6 +33,8 @@ from actaloom.session import spread, stored
 DIMS, BITS = 4, 8
 #: Texts of one stretch of the curve, of one block of neighbours, and open containers.
 STRETCH, NEAR, OPEN = 16_384, 2_048, 256
+#: Cuts of the curve up to which they are broadcast (4 bytes each), beyond that they are joined by a shuffle.
+CUTS = 4_000_000
 
 
 def hilbert(x: np.ndarray) -> np.ndarray:
@@ -115,6 +118,39 @@ class Packer:
         return out
 
 
+def with_stretch(items: DataFrame) -> DataFrame:
+    """items (key, n_tokens, curve) with the name of their stretch of the curve.
+
+    A prefix of at most STRETCH texts lies in one stretch with its neighbours. A larger one is
+    cut between keys; `cuts` are the keys at which a new stretch begins (at most one for each
+    STRETCH texts and two for each crowded key), `crowded` the keys of more than STRETCH texts.
+    """
+    half = DIMS * BITS - 16
+    rows = items.withColumn("prefix", F.shiftright("curve", half).cast("int")).withColumn("rest", F.col("curve").bitwiseAND(F.lit((1 << half) - 1)).cast("int"))
+    upto = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+    hist = stored(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")), "prefixes")
+    plan = hist.withColumn("stretch", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / STRETCH)).select("prefix", "stretch", "n")
+    large = F.broadcast(hist.filter(F.col("n") > STRETCH).select("prefix"))  # at most 65,536 rows, like plan
+    keys = rows.join(large, "prefix").groupBy("prefix", "rest").agg(F.count(F.lit(1)).alias("n"))
+    within = Window.partitionBy("prefix").orderBy("rest")  # at most 65,536 rows
+    before = F.coalesce(F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = keys.withColumn("at", F.floor(before / STRETCH)).withColumn("crowd", F.col("n") > STRETCH)
+    new = (F.col("at") > F.lag("at", 1, -1).over(within)) | F.col("crowd") | F.lag("crowd", 1, False).over(within)
+    cuts = keys.withColumn("new", new).filter("new").groupBy("prefix").agg(
+        F.sort_array(F.collect_list("rest")).alias("cuts"),
+        F.map_from_entries(F.collect_list(F.when(F.col("crowd"), F.struct("rest", F.ceil(F.col("n") / STRETCH).cast("int"))))).alias("crowded"),
+    )
+    plan = stored(plan.join(cuts, "prefix", "left").select("prefix", "stretch", "cuts", "crowded"), "stretches")
+    if plan.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()[0] <= CUTS:
+        plan = F.broadcast(plan)
+    placed = rows.join(plan, "prefix")
+    own = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("rest"))), F.lit(0))
+    parts = F.try_element_at("crowded", F.col("rest"))
+    part = F.when(parts.isNotNull(), F.pmod(F.xxhash64("key"), parts)).otherwise(F.lit(0))
+    whole = F.col("cuts").isNull()
+    return placed.withColumn("name", F.concat_ws("-", "stretch", F.when(whole, F.lit("")).otherwise(F.col("prefix").cast("string")), F.when(whole, F.lit(0)).otherwise(own), part))
+
+
 def pack(df: DataFrame, key: str, text: str, sizes: DataFrame, path: str | None = None) -> DataFrame:
     """(pack_id, container_id, position, key, piece_no, start_token, n_tokens): where every text, or piece of a text, lies.
 
@@ -125,14 +161,7 @@ def pack(df: DataFrame, key: str, text: str, sizes: DataFrame, path: str | None
     if len(caps) > 1000:
         raise ValueError("sizes: more than 1000 capacities")
     items = stored(place(df, key, text, path), "places")
-    prefix = F.shiftright("curve", DIMS * BITS - 16).cast("int")
-    hist = items.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    plan = hist.withColumn("stretch", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / STRETCH)).withColumn("parts", F.ceil(F.col("n") / STRETCH).cast("int")).select("prefix", "stretch", "parts")
-    placed = items.withColumn("prefix", prefix).join(F.broadcast(plan), "prefix")  # at most 65,536 rows
-    placed = placed.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("key"), F.col("parts"))).otherwise(F.lit(0)))
-    name = F.concat_ws("-", "stretch", F.when(F.col("parts") > 1, F.col("prefix").cast("string")).otherwise(F.lit("")), "part")
-    ordered = placed.select(name.alias("name"), "key", "n_tokens", "curve").repartition("name").sortWithinPartitions("name", "curve", "key")
+    ordered = with_stretch(items).select("name", "key", "n_tokens", "curve").repartition("name").sortWithinPartitions("name", "curve", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, packers = None, []

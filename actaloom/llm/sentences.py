@@ -4,10 +4,11 @@ Method: candidate boundaries are generated (marks that may end a sentence with t
 that close it, quotations that end with such a mark) and each is classified by a
 maximum-entropy model over the token before, its kind and length, the mark, the gap, the
 kind of what follows, and the script. The model is trained on reliable boundaries of the
-corpus itself: marks at the end of a paragraph and after long words before a capital are
-boundaries; marks before a small letter or within a number are none, nor are those after
-short tokens that are frequent and never end a paragraph. Its weights start from, and are
-held to, a prior that states what is known of the features, so rare scripts work too.
+corpus itself, see reliable: marks at the end of a paragraph, with what the next one begins
+with, and after long words before a capital are boundaries; marks before a small letter, after
+the number that begins a paragraph and after abbreviations as the corpus shows them are none.
+A weak prior, the same for all features it names, only says which way a feature points, so that
+a few texts of a rare script do not need all of its features; the weights are the corpus's.
 
 The training sample is bounded: the texts of the `SAMPLE` keys of lowest hash, at most
 `SAMPLE_CHARS` characters of each. Splitting itself covers every row and whole texts, one
@@ -51,11 +52,19 @@ CANDIDATE = re.compile(
 )
 BLANK = re.compile(r"\n(?:[^\S\n]*\n)+")
 THAI = re.compile(r"(?<=[฀-๿])[^\S\n]+(?=[^\s\d])|(?<=[^\s\d])[^\S\n]+(?=[฀-๿])")
+#: Marks before a small letter; tokens, with the full stop after them.
+LOOSE = re.compile(rf"[{MARKS}]+(?=\s+[a-zß-öø-ÿ])")
+WORDS = re.compile(r"([^\s(\[{«“„‘「『\"¿¡,;:!?…。！？।؟.)\]}»”」』’]+)(\.?)")
 TOKEN = re.compile(r"[^\s(\[{«“„‘「『\"¿¡,;:!?…。！？।؟]*")
 
 
 def token_before(text: str, start: int, at: int) -> str:
-    return TOKEN.match(text[max(start, at - 40) : at][::-1]).group()[::-1]
+    size = 40
+    while True:
+        token = TOKEN.match(text[max(start, at - size) : at][::-1]).group()[::-1]
+        if len(token) < size or at - size <= start:
+            return token
+        size *= 8
 
 
 @functools.lru_cache(100_000)
@@ -112,12 +121,11 @@ def next_kind(text: str, at: int, end: int) -> str:
     return "p" if c in ",;:.!?…)]}”»’'" else "s"
 
 
+#: What is known of the features before training: signs, all of one size. Fixed values.
 PRIOR = {
-    "bias": 0.0,
-    "mark=.": 0.5, "mark=!": 3.0, "mark=…": 1.5, "mark=q": 1.0, "mark=wide": 6.0,
-    "kind=title": -7.0, "kind=ref": -7.0, "kind=initial": -6.0, "kind=numbering": -12.0, "kind=ender": 0.5, "kind=word": 1.5, "kind=short": 1.0, "kind=digit": 1.0, "kind=closed": 1.5, "kind=none": 0.5,
-    "next=U": 1.5, "next=o": 1.5, "next=n": 1.0, "next=k": 0.5, "next=l": -9.0, "next=d": -0.5, "next=s": -0.5, "next=p": -12.0,
-    "gap=none&mark=.": -1.5, "gap=none&mark=!": -1.0, "gap=none&mark=q": -1.0, "mark=q&next=k": -9.0, "mark=q&gap=none&next=n": 2.5, "mark=wide&next=l": 5.0, "mark=q&next=l": -3.0,
+    "mark=!": 1.0, "mark=wide": 1.0,
+    "kind=title": -1.0, "kind=ref": -1.0, "kind=initial": -1.0, "kind=numbering": -1.0, "kind=word": 1.0, "kind=closed": 1.0,
+    "next=U": 1.0, "next=o": 1.0, "next=l": -1.0, "next=p": -1.0,
 }
 
 Key = tuple[str, str, str, str, str, str]
@@ -146,7 +154,7 @@ def key_at(text: str, start: int, end: int, m: re.Match[str]) -> tuple[int, int,
     else:
         mark = text[m.start() : m.start("close")]
         token = token_before(text, start, m.start())
-        kind = kind_of(token, m.start() - start < 60 and not text[start : m.start() - len(token)].strip())
+        kind = kind_of(token, m.start() - len(token) == start)
         if mark[0] in "。！？｡．।॥؟۔":
             sort = "wide"
         elif "!" in mark or "?" in mark:
@@ -183,11 +191,14 @@ class Model(dict):
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
+    """(first character, end) of every paragraph that is not blank."""
     at = 0
-    for m in BLANK.finditer(text):
-        yield at, m.start()
-        at = m.end()
-    yield at, len(text)
+    for stop, after in [*(m.span() for m in BLANK.finditer(text)), (len(text), len(text))]:
+        while at < stop and text[at].isspace():
+            at += 1
+        if at < stop:
+            yield at, stop
+        at = after
 
 
 def spans(text: str, model: Model) -> list[tuple[int, int]]:
@@ -219,65 +230,90 @@ def spans(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
+def abbreviations(texts: list[str], last: Counter[str]) -> set[str]:
+    """Short tokens of five texts or more that hardly ever stand without a full stop, nor at a paragraph's end. last: tokens at paragraphs' ends."""
+    plain: Counter[str] = Counter()
+    dotted: Counter[str] = Counter()
+    held_by: Counter[str] = Counter()
+    for t in texts:
+        found = [x for x in WORDS.findall(t.lower()) if len(x[0]) <= 6 and not x[0][0].isdigit()]
+        plain.update(w for w, _ in found)
+        own = Counter(w for w, dot in found if dot)
+        dotted.update(own)
+        held_by.update(own.keys())
+    return {w for w, n in dotted.items() if held_by[w] >= 5 and n >= 0.95 * plain[w] and last[w] <= 0.01 * n}
+
+
 def reliable(texts: list[str]) -> list[tuple[Key, int, int]]:
-    """(features' key, 1 boundary or 0 none, count) of the candidates that are safe to learn from."""
+    """(features' key, 1 boundary or 0 none, count) of the candidates that are safe to learn from.
+
+    Boundaries: the marks at the ends of paragraphs, with what the next paragraph begins with
+    as what follows; and marks after a long word or a closing sign before a capital, which
+    paragraphs' ends show to be ends of sentences. None: marks before a small letter or a mark
+    of the same sentence, the number that begins a paragraph, abbreviations as the corpus shows
+    them, and quotations that a character follows which often does so but begins no paragraph.
+    """
     seen: Counter[Key] = Counter()
-    last: Counter[str] = Counter()
-    total: Counter[str] = Counter()
-    loose = re.compile(rf"[{MARKS}]+(?=\s+[a-zß-öø-ÿ])")
+    ends: Counter[Key] = Counter()
     small: Counter[Key] = Counter()
+    last: Counter[str] = Counter()
+    first: Counter[str] = Counter()
+    after: Counter[tuple[Key, str]] = Counter()
     for text in texts:
-        for start, end in paragraphs(text):
+        parts = list(paragraphs(text))
+        for (start, end), following in zip(parts, [*parts[1:], None]):
+            first[text[start]] += 1
             for m in CANDIDATE.finditer(text, start, end):
-                if found := key_at(text, start, end, m):
-                    seen[found[2]] += 1
-                    total[found[2][1]] += 1
-                    last[found[2][1]] += found[2][4] == "end"
-            for m in loose.finditer(text, start, end):
+                if not (found := key_at(text, start, end, m)):
+                    continue
+                key = found[2]
+                if key[4] != "end":
+                    seen[key] += 1
+                    if key[2] == "q" and key[3] == "none":
+                        after[key, text[found[1]]] += 1
+                else:
+                    last[key[1]] += 1
+                    if following:
+                        ends[(*key[:3], "space", next_kind(text, *following), key[5])] += 1
+            for m in LOOSE.finditer(text, start, end):
                 token = token_before(text, start, m.start())
                 small[(kind_of(token, False), token.lower() if len(token) <= 8 else "", ".", "space", "l", "case")] += 1
-    # a short token of many texts that never stands without its full stop, nor at a paragraph's end, is an abbreviation
-    plain = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower()))
-    dotted = Counter(w for t in texts for w in re.findall(r"([^\W\d_]+)\.", t.lower()))
-    seen_in = Counter(w for t in texts for w in set(re.findall(r"([^\W\d_]{1,6})\.", t.lower())))
-    short = {w for w, n in seen_in.items() if n >= 20 and dotted[w] == plain[w] and not last[w]}
-    out = [(k, 0, n) for k, n in small.items()]
+    cut_short = abbreviations(texts, last)
+    follows = Counter()
+    for (_, c), n in after.items():
+        follows[c] += n
+    out = [(k, 0, n) for (k, c), n in after.items() if follows[c] >= 5 and first[c] <= 0.02 * follows[c]]
+    out += [(k, 0, n) for k, n in small.items()] + [(k, 1, n) for k, n in ends.items() if k[0] != "numbering"]
     for k, n in seen.items():
         kind, token, mark, gap, follow, _ = k
-        if follow == "end":
-            out.append((k, 1, n))
-        elif follow in "lp":
-            out.append((k, 0, n))
-        elif mark == "." and token in short:
+        if follow in "lp" or kind == "numbering" or mark == "." and token in cut_short:
             out.append((k, 0, n))
-        elif mark == "." and kind in ("word", "closed") and gap != "none" and follow in "Uo":
+        elif kind in ("word", "closed") and gap != "none" and follow in "Uo":
             out.append((k, 1, n))
-        elif kind not in ("word", "digit", "closed") and total[token] >= 5 and not last[token]:
-            out.append((k, 0, n))
     return out
 
 
-def fit(texts: list[str], rounds: int = 60, rate: float = 0.3, hold: float = 0.02) -> dict[str, float]:
-    """Weights of the maximum-entropy model by gradient ascent, held to the prior."""
+def fit(texts: list[str], rounds: int = 12, hold: float = 0.05) -> dict[str, float]:
+    """Weights of the maximum-entropy model by Newton's method, with a Gaussian prior of precision `hold` around PRIOR."""
     data = reliable(texts)
     if not data:
         return dict(PRIOR)
-    names: dict[str, int] = {}
-    rows, cols, y, w = [], [], [], []
+    count = Counter(f for key, _, n in data for f in features(key) for _ in range(min(n, 3)))
+    names = {f: k for k, f in enumerate(sorted(f for f, n in count.items() if n >= 3))}
+    x, y, w = np.zeros((len(data), len(names)), np.float32), np.zeros(len(data)), np.zeros(len(data))
     for r, (key, label, n) in enumerate(data):
-        y.append(label)
-        w.append(min(n, 50))
-        for f in features(key):
-            rows.append(r)
-            cols.append(names.setdefault(f, len(names)))
-    i, j, y, w = np.array(rows), np.array(cols), np.array(y, float), np.array(w, float)
-    w /= w.sum()
+        y[r], w[r] = label, min(n, 50)
+        x[r, [names[f] for f in features(key) if f in names]] = 1
     prior = np.array([PRIOR.get(f, 0.0) for f in names])
     theta = prior.copy()
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(i, theta[j], len(data)), -30, 30)))
-        grad = np.bincount(j, ((y - p) * w)[i], len(names))
-        theta += rate * (len(names) ** 0.5) * grad - hold * (theta - prior)
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        grad = x.T @ (w * (y - p)) - hold * (theta - prior)
+        curve = (x * np.maximum(w * p * (1 - p), 1e-6)[:, None].astype(np.float32)).T @ x
+        step = np.linalg.solve(curve.astype(float) + hold * np.eye(len(names)), grad)
+        theta += np.clip(step, -2, 2)
+        if abs(step).max() < 1e-3:
+            break
     return PRIOR | {f: round(float(theta[k]), 4) for f, k in names.items()}
 
 

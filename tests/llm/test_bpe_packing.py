@@ -92,3 +92,23 @@ def test_packing_keeps_all_and_fills(spark, monkeypatch):
     assert packed.exceptAll(again).count() == 0
     assert packing.pack(df.limit(0), "doc_id", "text", sizes).count() == 0
     assert packed.select("pack_id").distinct().count() == 2
+
+
+def test_stretches_are_ranges_of_the_whole_key(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 50)
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([5, 7]) << 16 | rnd.randrange(3000)) for i in range(900)] + [(1000 + i, 7 << 16 | 123) for i in range(200)] + [(2000 + i, i << 16) for i in range(20, 60)]
+    items = spark.createDataFrame([(k, 1, c) for k, c in rows], "key bigint, n_tokens bigint, curve bigint")
+    for cuts in (packing.CUTS, 0):
+        monkeypatch.setattr(packing, "CUTS", cuts)
+        got = packing.with_stretch(items).select("key", "curve", "name").collect()
+        assert sorted((r["key"], r["curve"]) for r in got) == sorted(rows)
+        spans, sizes = defaultdict(list), defaultdict(int)
+        for r in got:
+            spans[r["name"]].append(r["curve"])
+            sizes[r["name"]] += 1
+        assert max(sizes.values()) <= 2 * 50
+        crowd = 7 << 16 | 123
+        ranges = sorted((min(c), max(c)) for c in spans.values() if set(c) != {crowd})
+        assert all(b < c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+        assert sum(set(c) == {crowd} for c in spans.values()) >= 4

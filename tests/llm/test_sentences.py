@@ -1,10 +1,23 @@
 from __future__ import annotations
 
+import functools
+
+import pandas as pd
 import pytest
 
 from actaloom.llm import sentences as S
 
-MODEL = S.Model(S.PRIOR)
+
+@functools.cache
+def model() -> S.Model:
+    """The model of the documents at scale 0.01."""
+    return S.Model(S.fit(corpus()))
+
+
+@functools.cache
+def corpus() -> list[str]:
+    return pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"].dropna().tolist()
+
 
 CASES = {
     "O Sr. Eng.º Reis veio. A ré não.": ["O Sr. Eng.º Reis veio.", "A ré não."],
@@ -31,7 +44,7 @@ CASES = {
 
 @pytest.mark.parametrize("text", CASES)
 def test_cases(text):
-    assert [text[a:b] for a, b in S.spans(text, MODEL)] == CASES[text]
+    assert [text[a:b] for a, b in S.spans(text, model())] == CASES[text]
 
 
 def test_training_learns_an_abbreviation():
@@ -42,6 +55,24 @@ def test_training_learns_an_abbreviation():
     assert [t[a:b] for a, b in S.spans(t, model)] == ["Veio o Xptq. Reis.", "Saiu."]
 
 
+def test_training_decides():
+    bare, trained = S.Model(S.PRIOR), model()
+    a, b = ({(k, s) for k, t in enumerate(corpus()) for s in S.spans(t, m)} for m in (bare, trained))
+    assert len(a ^ b) > 0.005 * len(b)
+    t = "申请人称：「请退钱！」と述べた。Veja-se o art. 7 e a pág. 82."
+    assert S.spans(t, bare) != S.spans(t, trained)
+
+
+def test_held_out_boundaries():
+    """Trained on one half, the model finds the reliable boundaries of the other."""
+    texts = corpus()
+    held, right, total = S.Model(S.fit(texts[::2])), 0, 0
+    for key, label, n in S.reliable(texts[1::2]):
+        right += n * (held[key] == bool(label))
+        total += n
+    assert right >= 0.98 * total
+
+
 def test_every_row(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "Uma. Duas."), (4, "Uma. Duas."), (5, "Longo. " * 20_000)]
     df = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id bigint, text string, start_at int")

@@ -60,7 +60,7 @@ CELLS = 1 << 20
 WORD = re.compile(r"\w+")
 
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-S29, S32, K32 = np.uint64(29), np.uint64(32), np.uint32(0x9E3779B1)
+S29, S32, S34, CIRCLE = np.uint64(29), np.uint64(32), np.uint64(34), np.uint64(1 << 32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -211,27 +211,50 @@ def runs_of(size: np.ndarray, total: int, threshold: float, recall: float) -> in
     return runs_needed(threshold, recall, need, tuple(gains[np.arange(GROUPS) * len(gains) // GROUPS].tolist()))
 
 
-def leaf_paths(x: np.ndarray, share: np.ndarray, total: int, threshold: float, recall: float) -> np.ndarray:
-    """The paths at whose ends set x stands, over all its runs."""
-    x64 = mix(x.astype(np.uint64) * K3)
-    x32 = (x64 >> S32).astype(np.uint32)  # arithmetic of 32 bits is several times as fast
-    size = share[x & np.uint32(CELLS - 1)]
-    runs = runs_of(size, total, threshold, recall)
-    limit = np.uint32(min(2**32 - 1, int(2**32 * BRANCH / len(x))))
-    paths, expect, done = mix(np.arange(1, runs + 1, dtype=np.uint64) * K2), np.full(runs, float(total)), []
+def leaf_paths(sets: list[np.ndarray], share: np.ndarray, total: int, threshold: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """(path, index of the set): the paths at whose ends the sets stand, over all their runs; sorted by set.
+
+    A path goes on to the tokens whose hash lies in a window of the circle of 32-bit numbers
+    that starts at a place drawn by the path and is BRANCH / (size of the set) of it wide. With
+    the hashes sorted a window is found by bisection, whatever the size of the set, for all
+    sets at once.
+    """
+    n = np.array([len(x) for x in sets], np.int64)
+    first, flat, of = np.r_[0, np.cumsum(n)[:-1]], np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    size = share[flat & np.uint32(CELLS - 1)]
+    runs = np.array([runs_of(size[i : i + k], total, threshold, recall) for i, k in zip(first, n)])
+    x64 = mix(flat.astype(np.uint64) * K3)
+    place = of.astype(np.uint64) << S34 | x64 >> S32
+    order = np.argsort(place)
+    x64, size, place = x64[order], size[order], place[order]
+    ring = np.empty(2 * len(flat), np.uint64)  # each set's circle twice over, one set after another
+    at = np.arange(len(flat)) + first[of]
+    ring[at], ring[at + n[of]] = place, place + CIRCLE
+    width = np.minimum(2.0**32 * BRANCH / n, 2.0**32 - 1).astype(np.uint64)
+    own = np.repeat(np.arange(len(sets)), runs)
+    paths = mix((np.arange(len(own)) - np.repeat(np.cumsum(runs) - runs, runs) + 1).astype(np.uint64) * K2)
+    expect, ended, owners = np.full(len(own), float(total)), [], []
     for depth in range(DEPTH):
-        if not len(paths):
-            break
-        step = max(1, 4_000_000 // len(x))
-        low = (paths >> S32).astype(np.uint32)
-        hits = [np.nonzero((x32[None, :] ^ low[i : i + step, None]) * K32 <= limit) for i in range(0, len(paths), step)]
-        at = np.concatenate([h[0] + k * step for k, h in enumerate(hits)])
-        tok = np.concatenate([h[1] for h in hits])
+        start = own.astype(np.uint64) << S34 | paths >> S32
+        low, high = np.searchsorted(ring, start), np.searchsorted(ring, start + width[own])
+        hits = high - low
+        at = np.repeat(np.arange(len(paths)), hits)
+        own = own[at]
+        tok = np.arange(len(at)) + np.repeat(low - np.cumsum(hits) + hits, hits) - 2 * first[own]
+        tok = first[own] + tok % n[own]
         child, left = mix(paths[at] * K1 + x64[tok]), expect[at] * size[tok]
         ends = (left <= SMALL) | (depth == DEPTH - 1)
-        done.append(child[ends])
-        paths, expect = child[~ends], left[~ends]
-    return np.unique(np.concatenate(done)) if done else np.array([], np.uint64)
+        ended.append(child[ends])
+        owners.append(own[ends])
+        paths, expect, own = child[~ends], left[~ends], own[~ends]
+        if not len(paths):
+            break
+    path, owner = np.concatenate(ended), np.concatenate(owners)
+    order = np.lexsort((path, owner))
+    path, owner = path[order], owner[order]
+    new = np.ones(len(path), bool)
+    new[1:] = (path[1:] != path[:-1]) | (owner[1:] != owner[:-1])
+    return path[new], owner[new]
 
 
 def crowded_paths(sets: DataFrame, share: np.ndarray, total: int, threshold: float, recall: float) -> dict[int, int]:
@@ -255,26 +278,31 @@ def path_rows(sets: DataFrame, share: np.ndarray, total: int, threshold: float,
     spark = sets.sparkSession
     shared, blocks_of = spark.sparkContext.broadcast(share), spark.sparkContext.broadcast(crowded)
 
-    def cut_up(cls: bytes, paths: np.ndarray, blocks: dict[int, int]) -> np.ndarray:
-        out = []
-        for p in paths.tolist():
-            if g := blocks.get(p):
-                own = xxhash.xxh3_64_intdigest(cls) % g
-                out += [xxhash.xxh3_64_intdigest(f"{p} {min(own, j)} {max(own, j)}") - (1 << 63) for j in range(g)]
-            else:
-                out.append(p)
-        return np.array(out, np.int64)
+    def cut_up(b: pa.RecordBatch, paths: np.ndarray, at: np.ndarray, blocks: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        known = np.array(list(blocks), np.int64)
+        some = np.isin(paths, known)
+        out, where = [], []
+        for p, k in zip(paths[some].tolist(), at[some].tolist()):
+            g = blocks[p]
+            own = xxhash.xxh3_64_intdigest(b.column(0)[k].as_py()) % g
+            out += [xxhash.xxh3_64_intdigest(f"{p} {min(own, j)} {max(own, j)}") - (1 << 63) for j in range(g)]
+            where += [k] * g
+        return np.r_[paths[~some], np.array(out, np.int64)], np.r_[at[~some], np.array(where, np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(b: pa.RecordBatch, paths: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
-            k = pa.array(np.concatenate(at))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths)), b.column(0).take(k), *(b.column(c).take(k) for c in (2, 3, 4, 5, 6))], names=["path", "cls", "n", *SKETCH])
+        def rows(b: pa.RecordBatch, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            paths, owner = leaf_paths([x for _, x in held], shared.value, total, threshold, recall)
+            paths, at = paths.astype(np.int64), np.array([k for k, _ in held])[owner]
+            if blocks:
+                paths, at = cut_up(b, paths, at, blocks)
+            k = pa.array(at)
+            return pa.RecordBatch.from_arrays([pa.array(paths), b.column(0).take(k), *(b.column(c).take(k) for c in (2, 3, 4, 5, 6))], names=["path", "cls", "n", *SKETCH])
 
         seen: set[bytes] = set()
         blocks = blocks_of.value
         for b in batches:
             cls, raws, sizes = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            paths, at, held = [], [], 0
+            held, size = [], 0
             for k, (c, raw, n) in enumerate(zip(cls, raws, sizes)):
                 if c in seen:
                     continue
@@ -282,15 +310,13 @@ def path_rows(sets: DataFrame, share: np.ndarray, total: int, threshold: float,
                     seen.clear()
                 seen.add(c)
                 x = unpack(raw, n)
-                ends = leaf_paths(narrow(x) if n < WIDE else x, shared.value, total, threshold, recall).astype(np.int64)
-                paths.append(cut_up(c, ends, blocks) if blocks else ends)
-                at.append(np.full(len(paths[-1]), k))
-                held += len(paths[-1])
-                if held > 500_000:
-                    yield rows(b, paths, at)
-                    paths, at, held = [], [], 0
-            if at:
-                yield rows(b, paths, at)
+                held.append((k, narrow(x) if n < WIDE else x))
+                size += len(x)
+                if size > 150_000 or len(held) >= 512:
+                    yield rows(b, held)
+                    held, size = [], 0
+            if held:
+                yield rows(b, held)
 
     return sets.filter("key is not null").select("cls", "items", "n", *SKETCH).mapInArrow(run, f"path bigint, cls binary, n int, {', '.join(f'{s} bigint' for s in SKETCH)}")
 

@@ -71,13 +71,28 @@ def test_similarity_join_under_skew(spark):
     assert len(got & want) >= 0.99 * len(want) and len(got & edge) >= 0.99 * len(edge)
 
 
-def test_similarity_join_meets_contained_sets_on_long_paths():
-    rnd, share, met = np.random.default_rng(1), np.full(near_sets.CELLS, 1 / 3, np.float32), 0
-    for _ in range(200):
+@pytest.mark.parametrize(("total", "share"), [(100_000, 1 / 3), (10**7, 0.3), (10**9, 0.1), (10**9, 0.01)])
+def test_similarity_join_meets_contained_sets_on_long_paths(total, share):
+    rnd, shares, pairs = np.random.default_rng(1), np.full(near_sets.CELLS, share, np.float32), 150
+    sets = []
+    for _ in range(pairs):
         y = np.unique(rnd.integers(0, 2**32, 200, dtype=np.uint32))
-        x = np.sort(rnd.permutation(y)[: (len(y) + 1) // 2])  # of similarity 0.5
-        met += bool(len(np.intersect1d(*(near_sets.leaf_paths(s, share, 100_000, 0.5, 0.99) for s in (x, y)))))
-    assert met >= 0.97 * 200
+        sets += [y, np.sort(rnd.permutation(y)[: (len(y) + 1) // 2])]  # of similarity 0.5
+    met = 0
+    for k in range(0, len(sets), 20):
+        path, owner = near_sets.leaf_paths(sets[k : k + 20], shares, total, 0.5, 0.99)
+        ends = [set(path[owner == i].tolist()) for i in range(20)]
+        met += sum(bool(ends[i] & ends[i + 1]) for i in range(0, 20, 2))
+    assert met >= 0.97 * pairs
+
+
+def test_paths_of_sets_do_not_depend_on_each_other():
+    rnd, share = np.random.default_rng(2), np.full(near_sets.CELLS, 0.02, np.float32)
+    sets = [np.unique(rnd.integers(0, 2**32, n, dtype=np.uint32)) for n in (1, 2, 3, 40, 900, 40, 7)]
+    path, owner = near_sets.leaf_paths(sets, share, 10**6, 0.5, 0.99)
+    for i, x in enumerate(sets):
+        alone, _ = near_sets.leaf_paths([x], share, 10**6, 0.5, 0.99)
+        assert len(alone) and set(path[owner == i].tolist()) == set(alone.tolist())
 
 
 def test_mapping(spark):
@@ -94,9 +109,8 @@ def test_mapping(spark):
 
 
 def test_short_texts_of_equal_narrow_hashes_stay_apart(spark, monkeypatch):
-    monkeypatch.setattr(near_sets, "S32", np.uint64(62))  # 32-bit hashes of two bits only
+    monkeypatch.setattr(near_sets, "S32", np.uint64(62))  # narrow hashes of two bits only
     df = spark.createDataFrame([(f"k{i:02d}", f"uma{i}") for i in range(40)] + [("same", "UMA7")], "id string, text string")
-    monkeypatch.setattr(near_sets, "K32", np.uint32(1))
     full = [near_sets.shingles(f"uma{i}", 3) for i in range(40)]
     assert len({x.tobytes() for x in full}) == 40 and all(len(near_sets.unpack(x.tobytes(), 1)) == 1 for x in full)
     monkeypatch.undo()

@@ -2,8 +2,10 @@
 
 Method: noisy-channel correction. Each word of a body line has as candidates the words of
 the corpus that look alike once characters that scanners confuse are folded together; a
-candidate's score is its channel probability (a constant for each confusion) times the
-likelihood of corpus words and word pairs, and Viterbi picks the best words of each line.
+candidate's score is its channel probability, the product of the probabilities of its
+confusions, times the likelihood of corpus words and word pairs, and Viterbi picks the best
+words of each line. The probability of each confusion of characters is learned from the
+corpus: words that only scans hold are aligned with the one frequent word of their look.
 Words broken at a line's end are joined first; whether the hyphen belongs to the word is
 decided by the counts of both spellings. Page marks, running headers and footers are found
 by their place at page breaks, by recurrence within a document, and by the shapes of lines
@@ -35,12 +37,19 @@ from pyspark.sql import functions as F
 from actaloom.llm.near_sets import K2, mix
 from actaloom.session import cut, spread, stored
 
-#: Probability of one confusion, weight of a scanned page's word against a clean one's, share of the pair model.
-CONFUSION, SCANNED, PAIR = 0.05, 0.05, 0.3
+#: Probability of one confusion where nothing is learned (also the largest), and the occurrences that this counts as;
+#: weight of a scanned page's word against a clean one's, share of the pair model.
+CONFUSION, PRIOR, SCANNED, PAIR = 0.05, 20, 0.05, 0.3
+#: How many times as often as in all words a confusion may happen in one word.
+SPREAD = 10.0
+#: Weight of a word and its lead over the next one of its look that make it what a misread word was.
+FREQUENT, LEAD = 20.0, 10.0
 #: Pairs that count as much as the words' own weights.
 EVEN = 100
-#: Length under which a line away from a page break may be a header; bits of the tables of words and pairs.
-SHORT, BITS = 48, 1 << 23
+#: Bits of the tables of words and pairs.
+BITS = 1 << 23
+#: A line of more characters and of more than this part of its document's width is a full line, no header.
+NARROW, WIDTH = 60, 0.75
 #: Page marks in succession that may be unreadable; lines that a page has besides its mark at least.
 MISSING, BESIDE = 3, 3
 #: Characters that scanners confuse, as the sequences they are folded into. Fixed values.
@@ -49,23 +58,33 @@ SAME = {"0": "o", "@": "a", "5": "s", "$": "s", "1": "i", "l": "i", "|": "i", "!
 HYPHENS = "-­¬‐‑"
 ENDS = tuple(HYPHENS)
 WORD = re.compile(r"[^\W_][\w@|]*(?:-[\w@|]+)*|@[\w@|]+(?:-[\w@|]+)*")
-WORD_OR_END = re.compile(rf"\n|{WORD.pattern}")
+LETTER = re.compile(r"[^\W\d_]")
 BROKEN = re.compile(rf"([^\W\d_][\w@|]*|[@\d][\w@|]*[^\W\d_][\w@|]*|[^\W_]+(?:-[\w@|]+)+)([{HYPHENS}])[^\S\n]*$")
 ROMAN = r"(?=[ivxlc1y])[ivxlc1y]+"
-NUM = r"[\dOolI|sSbB@]{1,4}"
+NUM = r"[\dOolI|sSbB@]+"
 MARK = re.compile(rf"^[\W_]*(?:(?P<word>p[áaà@4][gq9][\w@]*\.?|f[l1iI|][s5]?\.?|folha|page)\s*)?(?P<n>{NUM}|{ROMAN})(?:\s*(?:/|d[ec]|cl[ec]|of)\s*(?P<of>{NUM}|{ROMAN}))?[\W_]*$", re.I)
 
 
-@lru_cache(200_000)
+class Folds(dict):
+    """Code point -> its look."""
+
+    def __missing__(self, c: int) -> str:
+        flat = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))
+        self[c] = look = "".join(SAME.get(y, y) for x in flat for y in WIDE.get(x, x))
+        return look
+
+
+FOLDS = Folds()
+
+
 def fold(word: str) -> str:
     """The look of a word: the same for a word and its misread forms."""
-    flat = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
-    return "".join(SAME.get(c, c) for c in "".join(WIDE.get(c, c) for c in flat))
+    return word.lower().translate(FOLDS)
 
 
 def shape(line: str) -> str:
     """A line's look with numbers and capitalised names left open."""
-    s = re.sub(r"(?<![^\W\d_])\d[\d./-]*(?:TAC|TBX)?(?![^\W\d_])", "0", line.strip().strip("\f").strip())
+    s = re.sub(r"(?<![^\W\d_])\d[\d./-]*(?:[A-Z]+\b)?(?![^\W\d_])", "0", line.strip().strip("\f").strip())
     words = s.split()
     if s.isupper():  # in capitals throughout: the first words tell the kind of line
         words = [w if k < 3 or not re.search(r"[^\W\d_]", w) else w.lower() if len(w) < 3 else w.title() for k, w in enumerate(words)]
@@ -79,7 +98,7 @@ def marks(lines: list[str]) -> dict[int, str]:
     by_style: dict[str, list[tuple[int, int, bool]]] = {}
     for i, line in enumerate(lines):
         s = line.strip().strip("\f").strip()
-        if not s or len(s) > 24 or not (m := MARK.match(s)):
+        if not s or not (m := MARK.match(s)):
             continue
         n, word = m.group("n"), (m.group("word") or "").lower()
         if not any(c.isdigit() for c in s) and not word and not re.fullmatch(rf"[\W_]*{ROMAN}[\W_]*", s.lower()) and not m.group("of"):
@@ -176,7 +195,9 @@ def layout(pages: DataFrame) -> DataFrame:
                 found = marks(lines)
                 rows += [(rel, i + 1, "page_number", "", False, False) for i in found]
                 zone = zones(lines, found)
-                brief = [i for i, line in enumerate(lines) if i not in found and line.strip() and len(line) < (100 if i in zone else SHORT)]
+                brief = [i for i, line in enumerate(lines) if i not in found and line.strip()]
+                widths = sorted(len(lines[i].strip()) for i in brief)
+                full = max(NARROW, WIDTH * widths[len(widths) * 9 // 10]) if widths else NARROW
                 looks = {i: fold(" ".join(lines[i].split())) for i in brief}
                 count = Counter(looks.values())
                 at: dict[str, set[int]] = {}
@@ -185,8 +206,8 @@ def layout(pages: DataFrame) -> DataFrame:
                         at.setdefault(looks[i], set()).add(k)
                 most = max(2, 0.6 * (len(set(zone.values())) - 2))
                 for i, look in looks.items():
-                    if i in zone or count[look] > 1 and len(look) > 5:
-                        narrow = len(lines[i].strip()) <= 60
+                    narrow = len(lines[i].strip()) <= full
+                    if i in zone or narrow and count[look] > 1 and len(look) > 5:
                         often = narrow and len(at[look]) >= most if i in zone else count[look] >= 3 and lines[i].rstrip()[-1] not in ".,;:"
                         rows.append((rel, i + 1, "zone" if i in zone else "inner", shape(lines[i]), count[look] > 1, often))
             cols = list(zip(*rows)) or [[], [], [], [], [], []]
@@ -211,11 +232,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) over a column of texts: words, and hyphenated words also as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[str] = Counter()
+        count: Counter[str] = Counter()  # of what stands between blanks; words are taken from each only once
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    count.update(WORD.findall(t.lower()))
+                    count.update(t.lower().split())
             if len(count) > 500_000:
                 yield emit(count)
                 count.clear()
@@ -223,13 +244,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def emit(count: Counter[str]) -> pa.RecordBatch:
         full: Counter[str] = Counter()
-        for w, n in count.items():
-            if len(w) > 64 or not re.search(r"[^\W\d_]", w):
-                continue
-            full[w] += n
-            if "-" in w:
-                for part in w.split("-"):
-                    full[part] += n
+        for token, n in count.items():
+            for w in WORD.findall(token):
+                if not w.isdigit() and LETTER.search(w):
+                    full[w] += n
+                    if "-" in w:
+                        for part in w.split("-"):
+                            full[part] += n
         return pa.RecordBatch.from_arrays([pa.array(list(full), pa.string()), pa.array(list(full.values()), pa.int64())], names=["word", "n"])
 
     return spread(texts).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -237,54 +258,137 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def parts_of(text: str) -> list[str]:
     """The words of a line in lower case, hyphenated ones in their parts; numbers are none."""
-    return [p for w in WORD.findall(text.lower()) for p in w.split("-") if not p.isdigit() and 0 < len(p) <= 64]
+    return [p for w in WORD.findall(text.lower()) for p in w.split("-") if p and not p.isdigit()]
+
+
+class Tokens(dict):
+    """What stands between blanks -> the 64-bit hashes of its words, as bytes; a line's end has the hash 0."""
+
+    def __init__(self) -> None:
+        super().__init__({"\n": bytes(8), "": b""})
+        self.words: dict[int, str] = {}
 
+    def __missing__(self, token: str) -> bytes:
+        words = [p for w in WORD.findall(token) for p in w.split("-") if p]
+        h = [HASHES[p] for p in words]
+        self.words.update(zip(h, words))
+        self[token] = raw = np.array(h, np.uint64).tobytes()
+        return raw
 
-def known_pairs(text: str, table: np.ndarray) -> list[tuple[str, str]]:
+
+def known_pairs(text: str, table: np.ndarray, tokens: Tokens) -> list[tuple[str, str]]:
     """The pairs of words, see parts_of, within the lines of a text that a bit table may hold."""
-    words = " ".join(WORD_OR_END.findall(text.lower())).replace("-", " ").split(" ")
-    h = hashes(words)
-    at = np.flatnonzero(h)
-    bits = pair_bits(h[at[:-1]], h[at[1:]])
-    hits = np.flatnonzero(table[bits >> 3] >> (bits & 7).astype(np.uint8) & 1)
-    pairs = ((words[i], words[j]) for i, j in zip(at[hits].tolist(), at[hits + 1].tolist()))
-    return [p for p in pairs if "\n" not in p]
+    if len(tokens) > 300_000:
+        tokens.__init__(tokens.clear())
+    h = np.frombuffer(b"".join(map(tokens.__getitem__, text.lower().replace("\n", " \n ").split(" "))), np.uint64)
+    h = h[h != NUMBER]
+    a, b = h[:-1], h[1:]
+    bits = pair_bits(a, b)
+    hits = np.flatnonzero((table[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool) & (a != 0) & (b != 0))
+    words = tokens.words
+    return [(words[x], words[y]) for x, y in zip(a[hits].tolist(), b[hits].tolist())]
 
 
 @lru_cache(100_000)
-def edits(a: str, b: str) -> int:
-    """Confusions between two words of the same look.
+def pieces(a: str, b: str) -> tuple[tuple[str, str], ...]:
+    """The confusions between a read word and the one meant, of the same look: (read, meant) of each piece that differs.
 
-    The words are cut wherever both looks are cut between letters; a piece that differs is one
-    confusion if a single letter is read as it or for it, and three if neither is single.
+    The words are cut wherever both looks are cut between letters.
     """
-    if a == b:
-        return 0
     ends = []
     for w in (a, b):
         at, out = 0, {}
-        for k, c in enumerate(unicodedata.normalize("NFC", w)):
+        for k, c in enumerate(w):
             at += len(fold(c))
-            out[at] = k + 1
+            out[at] = k + 1  # marks without a look of their own belong to the letter before
         ends.append(out)
-    cost = i = j = 0
+    i = j = 0
+    out = []
     for at in sorted(ends[0].keys() & ends[1].keys()):
         x, y = a[i : ends[0][at]], b[j : ends[1][at]]
-        cost += 0 if x == y else 1 if min(len(x), len(y)) <= 1 else 3
+        if x != y:
+            out.append((x, y))
         i, j = ends[0][at], ends[1][at]
-    return max(1, cost)
+    return tuple(out)
+
+
+def edits(a: str, b: str) -> int:
+    """Number of confusions: a piece that differs is one if a single letter is read as it or for it, else three."""
+    return 0 if a == b else max(1, sum(1 if min(len(x), len(y)) <= 1 else 3 for x, y in pieces(a, b)))
+
+
+class Channel(dict):
+    """(read, meant) -> the logarithm of the probability that the word `meant` is read as `read`, kept once computed.
+
+    counts: how often a piece was read as another; held: how often scanned pages have a piece.
+    """
+
+    def __init__(self, counts: dict[tuple[str, str], int] | None = None, held: dict[str, int] | None = None) -> None:
+        super().__init__()
+        self.counts, self.held = counts or {}, held or {}
+
+    def piece(self, x: str, y: str) -> float:
+        n = self.counts.get((x, y), 0)
+        p = min(CONFUSION, (n + PRIOR * CONFUSION) / (max(n, self.held.get(y, 0)) + PRIOR))
+        return math.log(p) * (1 if min(len(x), len(y)) <= 1 else 3)
+
+    def __missing__(self, words: tuple[str, str]) -> float:
+        if len(self) > 300_000:
+            self.clear()
+        self[words] = cost = 0.0 if words[0] == words[1] else min(math.log(CONFUSION), sum(self.piece(x, y) for x, y in pieces(*words)))
+        return cost
+
+
+def learn_channel(first: DataFrame, scans: DataFrame) -> tuple[dict[tuple[str, str], int], dict[str, int]]:
+    """What Channel is made of, from all words of the scanned pages.
+
+    A word that clean pages hardly have and whose look has one frequent word, well ahead of the
+    others, was meant as that word. How often a piece was read wrongly is divided by how often
+    scanned pages have it. Only confusions with a single letter on one side are learned; there
+    are at most a few thousand of them, the only thing that comes to the driver.
+    """
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count: Counter[tuple[str, str]] = Counter()
+            for word, n, meant in zip(*(c.to_pylist() for c in b.columns)):
+                for x, y in pieces(word, meant):
+                    if min(len(x), len(y)) <= 1 and len(x) <= 3 and len(y) <= 3:
+                        count[x, y] += n
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in count], pa.string()), pa.array([p[1] for p in count], pa.string()), pa.array(list(count.values()), pa.int64())], names=["read", "meant", "n"])
+
+    lead = F.when(F.size("opts") > 1, F.col("opts")[1]["weight"]).otherwise(F.lit(0.0))
+    clear = first.filter((F.size("opts") > 0) & (F.col("own") < 1) & (F.col("opts")[0]["cand"] != F.col("word")) & (F.col("opts")[0]["weight"] >= FREQUENT) & (F.col("opts")[0]["weight"] >= LEAD * lead))
+    found = clear.join(scans, "word").select("word", "n", F.col("opts")[0]["cand"].alias("meant")).mapInArrow(aligned, "read string, meant string, n bigint")
+    rows = found.groupBy("read", "meant").agg(F.sum("n").alias("n")).filter("n > 1").collect()
+    wanted = sorted({r["meant"] for r in rows if len(r["meant"]) > 1})
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter[str] = Counter()
+        for b in batches:
+            for word, n in zip(*(c.to_pylist() for c in b.columns)):
+                for p in word:
+                    count[p] += n
+                for p in wanted:
+                    if p in word:
+                        count[p] += n * word.count(p)
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["piece", "n"])
+
+    held = scans.select("word", "n").mapInArrow(present, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # letters and such pieces
+    return {(r["read"], r["meant"]): r["n"] for r in rows}, {r["piece"]: r["n"] for r in held}
 
 
 class Hashes(dict):
-    """Word -> 64-bit hash, 0 for what is no word of a pair; emptied when it gets large."""
+    """Word -> 64-bit hash, NUMBER for a number, which is no word of a pair; emptied when it gets large."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        self[word] = h = 0 if word.isdigit() or not 0 < len(word) <= 64 else xxhash.xxh3_64_intdigest(word) | 1
+        self[word] = h = int(NUMBER) if word.isdigit() else xxhash.xxh3_64_intdigest(word) | 1
         return h
 
 
+NUMBER = np.uint64(2)
 HASHES = Hashes()
 
 
@@ -393,7 +497,7 @@ def looks(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in words.dtypes) + ", look string")
 
 
-def decode(words: list[str], options: dict[str, dict[str, float]], pairs: dict[tuple[str, str], int]) -> list[str]:
+def decode(words: list[str], options: dict[str, dict[str, float]], pairs: dict[tuple[str, str], int], channel: Channel) -> list[str]:
     """The most likely words of a line, by Viterbi over the options of its doubtful words.
 
     options: doubtful word -> weight of each word it may stand for, itself included; a word
@@ -413,7 +517,7 @@ def decode(words: list[str], options: dict[str, dict[str, float]], pairs: dict[t
                 s += math.log((1 - PAIR) * n / total + PAIR * pair + 1e-12)
                 if s > best:
                     best, who = s, p
-            now[c], came[c] = best + edits(w, c) * math.log(CONFUSION), who
+            now[c], came[c] = best + channel[w, c], who
         back.append(came)
         score = now
     out: list[str] = []
@@ -424,6 +528,14 @@ def decode(words: list[str], options: dict[str, dict[str, float]], pairs: dict[t
     return out[::-1]
 
 
+def own_weight(word: str, own: float, clean: bool, options: dict[str, float], channel: Channel) -> float:
+    """The weight of a word as it stands. What misreading its options explains speaks for no word of its own, unless clean pages have it."""
+    if re.search(r"[\d@|]", word):  # signs and digits within a word make it hardly one
+        return 1e-3
+    explained = 0.0 if clean else SPREAD * sum(n * math.exp(channel[word, c]) for c, n in options.items() if c != word)
+    return max(1e-3, own - explained)
+
+
 def scan_noise(pages: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cases, repairs) of scanned pages. pages: all (rel, text); scanned: (rel) of the scanned ones.
 
@@ -436,31 +548,32 @@ def scan_noise(pages: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFra
     skip = around.groupBy("rel").agg(F.collect_set("line_no").alias("skip"))
     every = word_counts(pages.select("text"))
     scans = stored(word_counts(own.select("text")), "scan-words")
-    model = every.withColumnRenamed("n", "all").join(scans, "word", "left").select("word", (F.greatest(F.col("all") - F.coalesce("n", F.lit(0)), F.lit(0)) + F.least(F.coalesce("n", F.lit(0)), F.col("all")) * SCANNED).alias("weight"))
+    model = every.withColumnRenamed("n", "all").join(scans, "word", "left").select("word", (F.greatest(F.col("all") - F.coalesce("n", F.lit(0)), F.lit(0)) + F.least(F.coalesce("n", F.lit(0)), F.col("all")) * SCANNED).alias("weight"), (F.col("all") > F.coalesce("n", F.lit(0))).alias("clean"))
     model = stored(looks(model), "words")
-    first = options_of(scans.filter(~F.col("word").contains("-")).select("word"), model)
+    first = stored(options_of(scans.filter(~F.col("word").contains("-")).select("word"), model), "looks")
+    learned = own.sparkSession.sparkContext.broadcast(learn_channel(first, scans))
     lines = stored(body_lines(own.join(skip, "rel", "left").select("rel", "text", "skip"), bit_table(first.filter(DOUBT).select("word"))), "lines")
 
     joined = lines.filter(F.size("broken") > 0).select(F.col("broken")[0].alias("word"), F.col("broken")[1].alias("whole"))
     options = stored(options_of(lines.select(F.explode("words").alias("word")).distinct(), model), "options")
     doubtful = options.filter(DOUBT)
     tokens = lines.select("rel", "line_no", F.posexplode("words").alias("at", "word"))
-    choice = tokens.join(doubtful, "word").select("rel", "line_no", "word", "own", F.explode("opts").alias("o"))
-    opts = choice.groupBy("rel", "line_no").agg(F.collect_set(F.struct("word", "own", F.col("o.cand").alias("cand"), F.col("o.weight").alias("weight"))).alias("opts"))
+    choice = tokens.join(doubtful, "word").select("rel", "line_no", "word", "own", "clean", F.explode("opts").alias("o"))
+    opts = choice.groupBy("rel", "line_no").agg(F.collect_set(F.struct("word", "own", "clean", F.col("o.cand").alias("cand"), F.col("o.weight").alias("weight"))).alias("opts"))
     near = pair_counts(pages, own, tokens, opts.select("rel", "line_no"), doubtful)
     ready = lines.join(opts, ["rel", "line_no"]).join(near, ["rel", "line_no"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel = Channel(*learned.value)
         for b in batches:
             right = []
             for words, found, pairs in zip(*(b.column(k).to_pylist() for k in (2, 4, 5))):
                 table: dict[str, dict[str, float]] = {}
                 for o in found:
-                    w = o["word"]
-                    if w not in table:  # signs and digits within a word make it hardly one
-                        table[w] = {w: o["own"] if o["own"] and not re.search(r"[\d@|]", w) else 1e-3}
-                    table[w][o["cand"]] = o["weight"] if o["cand"] != w else table[w][w]
-                right.append(decode(words, table, {(p["a"], p["b"]): p["n"] for p in pairs or []}))
+                    table.setdefault(o["word"], {})[o["cand"]] = o["weight"]
+                for o in found:
+                    table[o["word"]][o["word"]] = own_weight(o["word"], o["own"], o["clean"], table[o["word"]], channel)
+                right.append(decode(words, table, {(p["a"], p["b"]): p["n"] for p in pairs or []}, channel))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(right, pa.list_(pa.string()))], names=["rel", "line_no", "words", "from_line", "right"])
 
     repairs = stored(ready.select("rel", "line_no", "words", "from_line", "opts", "pairs").mapInArrow(run, "rel string, line_no bigint, words array<string>, from_line array<bigint>, right array<string>"), "repairs")
@@ -478,16 +591,17 @@ def scan_noise(pages: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFra
     return firm.select(F.col("rel").alias("rel_raw"), "line_no", "kind").distinct(), repairs
 
 
-#: A word of which another word may be the true form.
+#: A word of which another word may be the true form. This prunes what Viterbi decides on: what is left out
+#: has less than 0.02 of the word's own weight even at the largest probability that a confusion has.
 DOUBT = f"exists(opts, o -> o.cand <> word and o.weight * {CONFUSION} > own * 0.02)"
 
 
 def options_of(words: DataFrame, model: DataFrame) -> DataFrame:
-    """(word, opts, own): all words of the same look with their weights, heaviest first, and the word's own weight."""
+    """(word, opts, own, clean): all words of the same look with their weights, heaviest first, the word's own weight, and whether clean pages have it."""
     proper = model.filter(~F.col("word").rlike(r"[\d@|]") & (F.length("word") > 2))  # only plain words can be meant
     cands = looks(words).join(proper.select("look", F.col("word").alias("cand"), "weight"), "look")
     options = cands.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("weight", "cand")), asc=False).alias("opts"))
-    return words.join(options, "word", "left").join(model.select("word", F.col("weight").alias("own")), "word", "left").select("word", "opts", F.coalesce("own", F.lit(0.0)).alias("own"))
+    return words.join(options, "word", "left").join(model.select("word", F.col("weight").alias("own"), "clean"), "word", "left").select("word", "opts", F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce("clean", F.lit(False)).alias("clean"))
 
 
 def same_start(a: str, b: str) -> F.Column:
@@ -509,16 +623,16 @@ def pair_counts(pages: DataFrame, scans: DataFrame, tokens: DataFrame, asked: Da
     shared = scans.sparkSession.sparkContext.broadcast(bit_table(may.select("a", "b").distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, count = shared.value, Counter()
+        table, count, tokens = shared.value, Counter(), Tokens()
         for b in batches:
             held, size = [], 0
             for t in b.column(0).to_pylist():
                 held.append(t or "")
                 size += len(held[-1])
                 if size > 200_000:
-                    count.update(known_pairs("\n".join(held), table))
+                    count.update(known_pairs("\n".join(held), table, tokens))
                     held, size = [], 0
-            count.update(known_pairs("\n".join(held), table))
+            count.update(known_pairs("\n".join(held), table, tokens))
             if len(count) > 500_000:
                 yield emit(count)
                 count.clear()

@@ -88,16 +88,43 @@ def test_scan_pieces():
     lines = ["Tribunal", "corpo", "— 1 / 3 —", "Tribunal", "2018.", "- 2 -", "x", "— 2 / 3 —", "y", "— 3 / 3 —"]
     assert set(scans.marks(lines)) >= {2, 7, 9} and 4 not in scans.marks(lines)
     assert set(scans.marks(["a", "i", "b", "ii", "c", "1ii"])) == {1, 3, 5}
-    assert scans.decode(["o", "prec0"], {"prec0": {"prec0": 1e-3, "preço": 50.0}}, {}) == ["o", "preço"]
+    assert scans.decode(["o", "prec0"], {"prec0": {"prec0": 1e-3, "preço": 50.0}}, {}, scans.Channel()) == ["o", "preço"]
 
 
 def test_all_words_of_a_look_are_options(spark):
     words = "cal gal eal qal cai gai eai".split()  # one look
-    model = scans.looks(spark.createDataFrame([(w, 90.0 - k) for k, w in enumerate(words)], "word string, weight double"))
+    model = scans.looks(spark.createDataFrame([(w, 90.0 - k, True) for k, w in enumerate(words)], "word string, weight double, clean boolean"))
     row = scans.options_of(spark.createDataFrame([("ea1",)], "word string"), model).first()
     assert [o["cand"] for o in row["opts"]] == words
     weights = {o["cand"]: o["weight"] for o in row["opts"]} | {"ea1": 1e-3}
-    assert scans.decode(["um", "ea1"], {"ea1": weights}, {("um", "eai"): 500}) == ["um", "eai"]
+    assert scans.decode(["um", "ea1"], {"ea1": weights}, {("um", "eai"): 500}, scans.Channel()) == ["um", "eai"]
+
+
+def test_confusions_are_learned(spark):
+    assert scans.pieces("rernetido", "remetido") == (("rn", "m"),) and scans.pieces("prec0", "preço") == (("c", "ç"), ("0", "o"))
+    first = spark.createDataFrame([("rernetido", [(90.0, "remetido")], 0.05), ("cornarca", [(70.0, "comarca")], 0.1), ("eal", [(30.0, "cal"), (29.0, "gal")], 0.1)], "word string, opts array<struct<weight: double, cand: string>>, own double")
+    words = spark.createDataFrame([("rernetido", 3), ("cornarca", 2), ("eal", 9), ("muito", 500), ("comum", 250)], "word string, n bigint")
+    counts, held = scans.learn_channel(first, words)
+    assert counts == {("rn", "m"): 5} and held["m"] == 1000
+    channel = scans.Channel(counts, held)
+    assert scans.Channel()["cornarca", "comarca"] > channel["cornarca", "comarca"] > scans.Channel({}, held)["cornarca", "comarca"]
+    options = {"cornarca": {"cornarca": 0.1, "comarca": 40.0}}
+    assert scans.decode(["cornarca"], options, {}, channel) == ["comarca"]
+    held_by = {"comarca": 40.0, "cornarca": 0.5}
+    assert scans.own_weight("cornarca", 0.5, False, held_by, channel) == 1e-3 < scans.own_weight("cornarca", 0.5, True, held_by, channel) == 0.5
+    rare = scans.Channel({("rn", "m"): 5}, {"m": 10_000_000})  # a confusion that hardly ever happens
+    assert scans.decode(["cornarca"], options, {}, rare) == ["cornarca"]
+
+
+def test_long_headers_marks_and_words(spark):
+    head = "Processo de arbitragem entre a reclamante e as demais partes citadas nos autos"
+    body = "O consumidor pediu a reparação do contador instalado na habitação e o tribunal recordou a matéria-prima já paga pelo consumidor nos termos da lei"
+    lines = [x for n in range(1, 6) for x in (head, f"{body} {n}", f"{n} {body}", f"Ainda {n} {body}", f"Enfim {n} {body}", f"{'-' * 20} {123450 + n} {'-' * 20}")]
+    pages = spark.createDataFrame([(f"s{i}", "\n".join(lines)) for i in range(4)], "rel string, text string")
+    got = {(r["line_no"], r["kind"]) for r in scans.furniture(pages).filter("rel = 's1'").collect()}
+    assert got == {(i + 1, "header") for i, x in enumerate(lines) if x == head} | {(i + 1, "page_number") for i, x in enumerate(lines) if x[0] == "-"}
+    long = "x" * 200
+    assert {r["word"]: r["n"] for r in scans.word_counts(spark.createDataFrame([(f"{long} {long}, sub-{long}",)], "t string")).collect()} == {long: 3, f"sub-{long}": 1, "sub": 1}
 
 
 def test_rows_of_page_marks():

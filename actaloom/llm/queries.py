@@ -32,7 +32,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     """(rel_raw, text): the pages that law_catalog reaches, with typed placeholders."""
-    return personal.redact(law_pages(spark, d), "rel_raw", "text", p2_found(spark, d))
+    return personal.redact(law_pages(spark, d), "rel_raw", "text", personal.mentions(table(spark, d, "raw_pages"), "rel_raw", "text"))
 
 
 def _scans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

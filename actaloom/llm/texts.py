@@ -1,0 +1,26 @@
+"""Pages as one text a key."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from actaloom.session import cut
+
+#: Keys of several texts up to which they are broadcast.
+FEW = 100_000
+
+
+def one_text(pages: DataFrame, rel: str, text: str) -> DataFrame:
+    """(rel, text): pages without a null key; of several texts of one key the least, so that no run mixes them.
+
+    Repeated rows of one text stay. Only hashes are shuffled, and the texts of keys that have several.
+    """
+    rows = pages.select(F.col(rel).cast("string").alias("rel"), F.col(text).cast("string").alias("text")).filter(F.col("rel").isNotNull())
+    h = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    several = cut(rows.select("rel", h.alias("h")).groupBy("rel").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count_if(F.col("h").isNull()).alias("n")).filter("a <> b or n > 0 and a is not null").select("rel"))
+    if several.isEmpty():
+        return rows
+    several = F.broadcast(several) if several.count() <= FEW else several
+    least = rows.join(several, "rel", "left_semi").groupBy("rel").agg(F.min("text").alias("text"))
+    return rows.join(several, "rel", "left_anti").unionByName(least)

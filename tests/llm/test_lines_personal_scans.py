@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from actaloom.llm import personal, scans, site_lines
+from actaloom.llm import personal, scans, site_lines, texts
 
 
 def test_repeated_lines_against_brute_force(spark):
@@ -67,11 +67,50 @@ def test_personal_information(spark):
     }
     assert {k for k, _ in got["p7"]} == {"person", "phone", "email"}
     assert ("phone", "930000007") in got["p7"] and not any("210000007" in v for _, v in got["p7"])
-    clean = {r["rel_raw"]: r["text"] for r in personal.redact(df, "rel_raw", "text", found).collect()}
+    places = personal.mentions(df, "rel_raw", "text")
+    clean = {r["rel_raw"]: r["text"] for r in personal.redact(df, "rel_raw", "text", places).collect()}
     assert "[EMAIL]" in clean["p7"] and "@" not in clean["p7"] and "Corvinhal & Farrobo, Lda." in clean["p7"] and clean["n"] is None
     assert personal.personal_information(df.limit(0), "rel_raw", "text").count() == 0
 
 
+def test_rounds_discover_what_one_round_does_not(spark, monkeypatch):
+    first = [(f"a{i}", f"Depois ligue para o +351 91{i:07d} amanhã cedo.") for i in range(6)]  # seeds teach the first pattern
+    bridge = [(f"b{i}", f"Depois ligue para o 96{i:07d} amanhã cedo.\nA vizinha anotou aquele 96{i:07d} num papel.") for i in range(6)]
+    last = [("k", "A vizinha anotou aquele 934445556 num papel.")]
+    df = spark.createDataFrame(first + bridge + last, "rel_raw string, text string")
+    found = lambda: {(r["rel_raw"], r["found_text"]) for r in personal.personal_information(df, "rel_raw", "text").filter("kind = 'phone'").collect()}
+    assert ("k", "934445556") in found()
+    monkeypatch.setattr(personal, "ROUNDS", 1)
+    assert ("k", "934445556") not in found() and ("b1", "960000001") in found()
+
+
+def test_patterns_admit_loose_addresses(spark):
+    mails = [(f"m{i}", f"Pode escrever para nome{i}@caixa.test até sexta.") for i in range(6)]
+    homes = [(f"h{i}", f"Este autor, residente na Rua do Moinho {chr(65 + i)}breu, n.º {i + 1}, 4999-10{i} Almoral.") for i in range(6)]
+    rows = mails + homes + [
+        ("x", "Pode escrever para rita at orvalho . example até sexta."), ("y", "O jantar at home . Depois saiu."),
+        ("z", "Este autor, residente na Quinta Velha 7, 4999-101 Almoral."), ("w", "O lote Quinta Nova 8, 4999-102 Almoral foi vendido."),
+    ]
+    df = spark.createDataFrame(rows, "rel_raw string, text string")
+    got = {(r["rel_raw"], r["kind"], r["found_text"]) for r in personal.personal_information(df, "rel_raw", "text").filter("rel_raw in ('x', 'y', 'z', 'w') and kind in ('email', 'address')").collect()}
+    assert got == {("x", "email", "rita at orvalho . example"), ("z", "address", "Quinta Velha 7, 4999-101 Almoral")}
+
+
+def test_redaction_by_place(spark):
+    text = "O Sr. Rui Farrobo falou pela Rui Farrobo, Lda. com o Sr. Rui Farrobo."
+    pages = spark.createDataFrame([("a", text), ("a", text), ("b", text + " z"), ("b", text), ("n", None)], "rel_raw string, text string")
+    second = text.rindex("Rui")
+    found = spark.createDataFrame([(r, "person", "Rui Farrobo", s) for r in "ab" for s in (6, second)] + [("b", "person", "Rui", 6), ("b", "email", "gone", 3)], "rel string, kind string, text string, start int")
+    got = {r["rel_raw"]: r["text"] for r in personal.redact(pages, "rel_raw", "text", found).collect()}
+    assert got == {"a": "O Sr. [PERSON] falou pela Rui Farrobo, Lda. com o Sr. [PERSON].", "b": "O Sr. [PERSON] falou pela Rui Farrobo, Lda. com o Sr. [PERSON].", "n": None}
+
+
+def test_one_text(spark):
+    rows = [("a", "x"), ("a", "x"), ("b", "2"), ("b", "1"), ("c", None), ("c", "y"), ("d", None), (None, "z")]
+    df = spark.createDataFrame(rows, "k string, t string")
+    assert sorted((r["rel"], r["text"] or "") for r in texts.one_text(df, "k", "t").collect()) == [("a", "x"), ("a", "x"), ("b", "1"), ("c", "y"), ("d", "")]
+
+
 def test_mail_signs(spark):
     signs = ["@", " arroba ", *(f"{sp}{o}{gap}{w}{gap}{c}{sp}" for o, c in ("()", "[]", "{}") for w in ("at", "arroba", "@") for gap in ("", " ") for sp in ("", " "))]
     dots = [".", *(f"{sp}{o}{w}{c}{sp}" for o, c in ("()", "[]") for w in ("dot", "ponto", ".") for sp in ("", " "))]

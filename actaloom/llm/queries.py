@@ -18,6 +18,11 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(law_pages(spark, d), "rel_raw", "text", p1_found(spark, d))
 
 
+def p1_templates(spark: SparkSession, d: str) -> DataFrame:
+    """(website, template, pages, forms): the sites' templates, with wildcards where their lines differ."""
+    return site_lines.site_templates(table(spark, d, "law_catalog"), "website", "rel_raw", table(spark, d, "raw_pages"), "rel_raw", "text")
+
+
 def law_pages(spark: SparkSession, d: str) -> DataFrame:
     """The raw pages that law_catalog reaches."""
     owners = table(spark, d, "law_catalog").select("rel_raw").filter("rel_raw is not null").distinct()
@@ -125,7 +130,7 @@ def near_dup_documents(spark: SparkSession, d: str) -> DataFrame:
     return near_sets.similar_groups(docs, "doc_id", "doc_id", docs, "doc_id", "text", width=5, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (near_dup_documents, p1_found, p1_clean, p2_found, p2_clean, p3_found, p3_clean, p4_found, p4_groups, p5_found, p5_unmatched, p6_sample, p7_found, p7_sample, p7_report, p8_ids, p8_roundtrip, p9_pack, p9_fill, p10_found)}
+QUERIES = {f.__name__: f for f in (near_dup_documents, p1_found, p1_clean, p1_templates, p2_found, p2_clean, p3_found, p3_clean, p4_found, p4_groups, p5_found, p5_unmatched, p6_sample, p7_found, p7_sample, p7_report, p8_ids, p8_roundtrip, p9_pack, p9_fill, p10_found)}
 
 _P1 = """
 with pages as (

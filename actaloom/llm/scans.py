@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actaloom.llm.near_sets import K2, mix
+from actaloom.llm.near_sets import K2, K3
+from actaloom.llm.texts import one_text
 from actaloom.session import cut, spread, stored
 
 #: Probability of one confusion where nothing is learned (also the largest), and the occurrences that this counts as;
@@ -269,10 +270,13 @@ class Tokens(dict):
         self.words: dict[int, str] = {}
 
     def __missing__(self, token: str) -> bytes:
-        words = [p for w in WORD.findall(token) for p in w.split("-") if p]
-        h = [HASHES[p] for p in words]
-        self.words.update(zip(h, words))
-        self[token] = raw = np.array(h, np.uint64).tobytes()
+        raw = b""
+        for p in (token,) if token.isalpha() else [p for w in WORD.findall(token) for p in w.split("-")]:
+            if p:
+                h = HASHES[p]
+                self.words[h] = p
+                raw += h.to_bytes(8, "little")
+        self[token] = raw
         return raw
 
 
@@ -284,7 +288,8 @@ def known_pairs(text: str, table: np.ndarray, tokens: Tokens) -> list[tuple[str,
     h = h[h != NUMBER]
     a, b = h[:-1], h[1:]
     bits = pair_bits(a, b)
-    hits = np.flatnonzero((table[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool) & (a != 0) & (b != 0))
+    hits = np.flatnonzero(table[bits >> 3] >> (bits & 7).astype(np.uint8) & 1)
+    hits = hits[(a[hits] != 0) & (b[hits] != 0)]
     words = tokens.words
     return [(words[x], words[y]) for x, y in zip(a[hits].tolist(), b[hits].tolist())]
 
@@ -397,7 +402,7 @@ def hashes(words: list[str]) -> np.ndarray:
 
 
 def pair_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (mix(a * K2 ^ mix(b)) % np.uint64(BITS)).astype(np.int64)
+    return ((a * K2 + b * K3) >> np.uint64(64 - 23)).astype(np.int64)  # both are hashes; BITS = 2^23
 
 
 def bit(word: str) -> int:
@@ -542,6 +547,7 @@ def scan_noise(pages: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFra
     cases: (rel_raw, line_no, kind), kinds header, page_number, hyphen, char. repairs: (rel,
     line_no, words, right), the body lines' words in lower case with their decoded forms.
     """
+    pages = one_text(pages, "rel", "text")
     own = stored(pages.join(scanned, "rel", "left_semi").filter(F.col("text").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]")).dropDuplicates(["rel"]).select("rel", "text"), "scans")
     own = spread(own)
     around = stored(furniture(own), "furniture")
@@ -686,7 +692,7 @@ def clean_text(pages: DataFrame, cases: DataFrame, repairs: DataFrame) -> DataFr
                 out.append(text if text is None or not text.strip() else paragraphs(text, found if found is not None else [], fixes if fixes is not None else []))
             yield pd.DataFrame({"rel_raw": b["rel"], "text": out})
 
-    rows = pages.dropDuplicates(["rel"]).join(by_kind, "rel", "left").join(right, "rel", "left")
+    rows = one_text(pages, "rel", "text").dropDuplicates(["rel"]).join(by_kind, "rel", "left").join(right, "rel", "left")
     return rows.select("rel", "text", "cases", "repairs").mapInPandas(run, "rel_raw string, text string")
 
 

@@ -13,13 +13,15 @@ Steps, each over all rows:
 2. a second pass keeps the lines under the remaining nodes, and each partition grows its
    own leaves; the leaves of all partitions are merged node by node;
 3. templates that cover enough pages of a site stay, and an exact check on the joined
-   letters decides which of their lines are repeated enough.
+   letters decides which of their lines are repeated enough. The templates themselves, with
+   wildcards where a site's lines differ, are the result of site_templates.
 
 At least a share of a site's pages must pass a node, so at most (lines a page / share) nodes
 of a site remain; they are broadcast while they are fewer than `MAX_NODES`, else joined.
 
 Defined cases: null, blank and repeated pages, lines without letters, rows without a site
-or page key are no cases; a page of two sites counts for both; extra columns are ignored.
+or page key are no cases; of several texts of one page the least counts; a page of two sites counts for
+both; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actaloom.llm.texts import one_text
 from actaloom.session import spread, stored
 
 #: Least pages and least share of a site's pages.
@@ -132,20 +135,21 @@ def merged_templates(lines: DataFrame) -> DataFrame:
     return found.groupBy("node").applyInPandas(merge, "node bigint, templates array<string>")
 
 
-def repeated_lines(catalog: DataFrame, site: str, rel: str, pages: DataFrame, page_rel: str, text: str, least_pages: int = PAGES, least_share: float = SHARE) -> DataFrame:
-    """(rel_raw, line_no): every line that its site repeats on enough pages."""
+def template_hits(catalog: DataFrame, site: str, rel: str, pages: DataFrame, page_rel: str, text: str, least_pages: int, least_share: float) -> tuple[DataFrame, DataFrame]:
+    """(hits, leaves). hits: (site, rel, line_no, node, template, letters, least), the lines of each site under nodes that cover enough of its pages; leaves: (node, templates)."""
     name, key = F.col(site).cast("string"), F.col(rel).cast("string")
     owners = catalog.select(name.alias("site"), key.alias("rel")).filter(F.col("site").rlike(r"[^\s\p{Z}]") & F.col("rel").isNotNull()).distinct()
-    nodes = page_nodes(pages, page_rel, text).dropDuplicates(["rel"])
+    pages = one_text(pages, page_rel, text)
+    nodes = page_nodes(pages, "rel", "text").dropDuplicates(["rel"])
     of_site = stored(owners.join(nodes, "rel").select("site", "rel", "nodes"), "site-nodes")
     sizes = of_site.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).withColumn("least", F.greatest(F.lit(float(least_pages)), F.col("pages") * F.lit(float(least_share))))
     covered = of_site.select("site", F.explode("nodes").alias("node")).groupBy("site", "node").agg(F.count(F.lit(1)).alias("n"))
     left = stored(covered.join(sizes.hint("shuffle_hash"), "site").filter(F.col("n") >= F.col("least")).select("site", "node", "least"), "nodes")
     distinct = left.select("node").distinct()
     if (few := distinct.count()) <= MAX_NODES:
-        lines = kept_lines(pages, page_rel, text, distinct.toPandas()["node"].to_numpy(np.int64) if few else np.array([], np.int64))
+        lines = kept_lines(pages, "rel", "text", distinct.toPandas()["node"].to_numpy(np.int64) if few else np.array([], np.int64))
     else:
-        lines = kept_lines(pages, page_rel, text, None).join(distinct, "node", "left_semi")
+        lines = kept_lines(pages, "rel", "text", None).join(distinct, "node", "left_semi")
     lines = stored(lines.dropDuplicates(["rel", "line_no"]), "lines")
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,16 +160,35 @@ def repeated_lines(catalog: DataFrame, site: str, rel: str, pages: DataFrame, pa
                 which.append(next((k for k, s in enumerate(templates) if fits_merged(s.split("|"), t)), -1))
             yield pd.DataFrame({"node": b["node"], "letters": b["letters"], "template": which})
 
-    keys = lines.select("node", "letters").distinct().join(merged_templates(lines), "node")
+    leaves = stored(merged_templates(lines), "templates")
+    keys = lines.select("node", "letters").distinct().join(leaves, "node")
     assigned = keys.mapInPandas(assign, "node bigint, letters string, template int")
     hits = of_site.select("site", "rel").join(lines, "rel").join(left, ["site", "node"]).join(assigned, ["node", "letters"])
-    hits = stored(hits.select("site", "rel", "line_no", "node", "template", "letters", "least"), "hits")
+    return stored(hits.select("site", "rel", "line_no", "node", "template", "letters", "least"), "hits"), leaves
+
+
+def repeated_lines(catalog: DataFrame, site: str, rel: str, pages: DataFrame, page_rel: str, text: str, least_pages: int = PAGES, least_share: float = SHARE) -> DataFrame:
+    """(rel_raw, line_no): every line that its site repeats on enough pages."""
+    hits, _ = template_hits(catalog, site, rel, pages, page_rel, text, least_pages, least_share)
     templates = hits.groupBy("site", "node", "template", "least").agg(F.count_distinct("rel").alias("n")).filter(F.col("n") >= F.col("least")).select("site", "node", "template")
     covering = hits.join(templates, ["site", "node", "template"], "left_semi")
     exact = covering.groupBy("site", "letters", "least").agg(F.count_distinct("rel").alias("n")).filter(F.col("n") >= F.col("least")).select("site", "letters")
     return covering.join(exact, ["site", "letters"], "left_semi").select(F.col("rel").alias("rel_raw"), "line_no").distinct()
 
 
+def site_templates(catalog: DataFrame, site: str, rel: str, pages: DataFrame, page_rel: str, text: str, least_pages: int = PAGES, least_share: float = SHARE) -> DataFrame:
+    """(website, template, pages, forms): the templates that cover enough pages of a site, "*" for each wildcard.
+
+    forms is the number of different lines of the site that the template stands for; none of
+    them needs to be frequent itself, which is what wildcards find beyond repeated_lines.
+    """
+    hits, leaves = template_hits(catalog, site, rel, pages, page_rel, text, least_pages, least_share)
+    found = hits.filter("template >= 0").groupBy("site", "node", "template", "least").agg(F.count_distinct("rel").alias("pages"), F.count_distinct("letters").alias("forms")).filter(F.col("pages") >= F.col("least"))
+    slots = F.split(F.col("templates")[F.col("template")], r"\|", -1)
+    shown = F.array_join(F.transform(slots, lambda x: F.when(x == "", "*").otherwise(x)), "")
+    return found.join(leaves, "node").select(F.col("site").alias("website"), shown.alias("template"), "pages", "forms")
+
+
 def fits_merged(template: list[str], line: list[str]) -> bool:
     """A line belongs to a merged template if every fixed slot agrees."""
     return len(template) == len(line) and all(not x or x == y for x, y in zip(template, line))
@@ -174,6 +197,6 @@ def fits_merged(template: list[str], line: list[str]) -> bool:
 def without_lines(pages: DataFrame, page_rel: str, text: str, found: DataFrame) -> DataFrame:
     """(rel_raw, text): each page once, its found lines left out; pages without one stay as they are."""
     drop = found.groupBy("rel_raw").agg(F.collect_list("line_no").alias("_drop"))
-    rows = pages.select(F.col(page_rel).cast("string").alias("rel_raw"), F.col(text).cast("string").alias("text")).filter(F.col("rel_raw").isNotNull()).dropDuplicates(["rel_raw"])
+    rows = one_text(pages, page_rel, text).withColumnRenamed("rel", "rel_raw").dropDuplicates(["rel_raw"])
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_drop", (i + 1).cast("bigint")))
     return rows.join(drop, "rel_raw", "left").select("rel_raw", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))

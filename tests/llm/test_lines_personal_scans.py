@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from actaloom.llm import personal, scans, site_lines, texts
@@ -41,6 +43,29 @@ def test_repeated_lines_against_brute_force(spark):
     assert site_lines.repeated_lines(catalog, "website", "rel_raw", pages.limit(0), "rel_raw", "text").count() == 0
 
 
+def test_templates_with_wildcards(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(60):
+        name = "".join(rnd.choices("abcdefghij", k=4))
+        rows.append((f"p{i}", f"Aviso\nPubl icad oema rqui vist {name} voda cama radi anal dodi stri tofi\n{''.join(rnd.choices('abcdefghijklm', k=30))}"))
+    pages = spark.createDataFrame(rows, "rel_raw string, text string")
+    catalog = pages.select("rel_raw", F.lit("s").alias("website"))
+    got = {r["template"]: (r["pages"], r["forms"]) for r in site_lines.site_templates(catalog, "website", "rel_raw", pages, "rel_raw", "text").collect()}
+    assert got == {"aviso": (60, 1), "publicadoemarquivist*vodacamaradianaldodistritofi": (60, 60)}
+    lines = {r["line_no"] for r in site_lines.repeated_lines(catalog, "website", "rel_raw", pages, "rel_raw", "text").collect()}
+    assert lines == {1}  # no form of the second line is frequent itself
+
+
+def test_pages_of_two_texts_give_the_same_result_in_any_order(spark):
+    rows = [(f"p{i}", f"Aviso legal\nlinha {chr(97 + i)}") for i in range(15)] + [("p3", "Zona\nAviso legal"), ("p3", "Aviso legal\nlinha d")]
+    pages, got = spark.createDataFrame(rows, "rel_raw string, text string"), []
+    catalog = pages.select("rel_raw", F.lit("s").alias("website"))
+    for df in (pages, spark.createDataFrame(rows[::-1], "rel_raw string, text string")):
+        got.append({(r["rel_raw"], r["line_no"]) for r in site_lines.repeated_lines(catalog, "website", "rel_raw", df, "rel_raw", "text").collect()})
+    assert got[0] == got[1] and ("p3", 1) in got[0] and ("p3", 2) not in got[0]
+
+
 GIVEN = "Olegário Quitéria Jacinta Rosalinda Albertina Valdemar".split()
 FAMILY = "Pinhalvo Farrobo Dorvalho Queirosa Corvinhal Cardelho".split()
 
@@ -177,6 +202,16 @@ def test_rows_of_page_marks():
     assert not scans.marks(["a", "5", "6", "7", "8", "b"]) and not scans.marks(["a", "x", "y", "z", "45/2019", "b", "c", "d", "e"])
 
 
+def test_pairs_of_a_text_against_a_plain_count():
+    table = np.full(scans.BITS // 8, 255, np.uint8)
+    text = "O prazo de 30 dias, guarda-roupa\nfim\n\nA-b c@se  12-a  \té 2020 ½x\r\nÉ-\n- -a b-- c"
+    want: Counter = Counter()
+    for line in text.lower().split("\n"):
+        words = scans.parts_of(line)
+        want.update(zip(words, words[1:]))
+    assert Counter(scans.known_pairs(text, table, scans.Tokens())) == want and want["prazo", "de"] == 1 and want["de", "dias"] == 1
+
+
 def test_pairs_count_in_all_pages(spark):
     clean = [(f"c{i}", "a cela do preso.\na gela do frigorifico.") for i in range(20)] + [("once", "uma cela vazia."), ("n", None)]
     scanned = spark.createDataFrame([("s", "uma eela vazia")], "rel string, text string")

@@ -32,8 +32,23 @@ def first_filled(*cols: Column, default: str = "unknown") -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in cols), F.lit(default))
 
 
+def _lines(x: Column) -> Column:
+    """The lines of a text; a carriage return at a line's end stays with it."""
+    return F.split(x, "\n", -1)
+
+
+def _fence(lines: Column) -> Column:
+    """Number, from 1, of the line that closes a frontmatter block; 0 if the text does not begin with one."""
+    marks = F.transform(lines, lambda s: F.regexp_replace(s, r"\r$", "") == "---")
+    rest = F.array_position(F.slice(marks, 2, F.greatest(F.size(lines) - 1, F.lit(0))), True)
+    return F.when(F.element_at(marks, 1) & (rest > 1) & (rest + 1 < F.size(lines)), rest + 1).otherwise(F.lit(0)).cast("int")
+
+
 def strip_frontmatter(x: Column) -> Column:
-    return F.regexp_replace(x, r"^---\r?\n[\s\S]*?\r?\n---\r?\n", "")
+    """The text after its frontmatter: a first line "---" up to the next such line, at least one line between."""
+    lines = _lines(x)
+    fence = _fence(lines)
+    return F.when(fence == 0, x).otherwise(F.array_join(F.slice(lines, fence + 1, F.greatest(F.size(lines) - fence, F.lit(0))), "\n"))
 
 
 def section(x: Column, name: str, following: str) -> Column:
@@ -52,8 +67,17 @@ def full_text(x: Column) -> Column:
 
 def frontmatter_value(x: Column, key: str) -> Column:
     """The value of a frontmatter line, JSON quotes left out; "" if absent."""
-    head = F.regexp_extract(x, r"^---\r?\n([\s\S]*?)\r?\n---\r?\n", 1)
-    return F.regexp_replace(F.regexp_extract(head, rf"(?m)^{key}: ?(.*)$", 1), '^"|"$', "")
+    lines = _lines(x)
+    head = F.transform(F.slice(lines, 2, F.greatest(_fence(lines) - 2, F.lit(0))), lambda s: F.regexp_replace(s, r"\r$", ""))
+    found = F.get(F.filter(head, lambda s: s.startswith(f"{key}:")), F.lit(0))
+    return F.coalesce(F.regexp_replace(F.regexp_replace(found, rf"^{key}: ?", ""), '^"|"$', ""), F.lit(""))
+
+
+def frontmatter_list(x: Column, key: str) -> Column:
+    """The values of a frontmatter line that holds a list, in JSON ["a", "b"] or bare [a, b]; empty if absent."""
+    raw = F.trim(frontmatter_value(x, key))
+    bare = F.transform(F.split(F.regexp_replace(raw, r"^\[|\]$", ""), ","), lambda v: F.regexp_replace(F.trim(v), "^[\"']|[\"']$", ""))
+    return F.when(~raw.startswith("["), F.array().cast("array<string>")).otherwise(F.coalesce(F.from_json(raw, "array<string>"), F.filter(bare, lambda v: v != "")))
 
 
 def html_escape(x: Column) -> Column:
@@ -68,9 +92,14 @@ def encode_component(x: Column) -> Column:
     return out
 
 
+#: Folder of the pdf files, which their public address leaves out. Fixed value.
+PDF_ROOT = "raw/pdfs/"
+
+
 def pdf_url(path: Column) -> Column:
     """The public address of a pdf path: root folder left out, separators unified, segments encoded."""
-    rest = F.replace(F.regexp_replace(path, r"^raw[/\\]pdfs[/\\]", ""), F.lit("\\"), F.lit("/"))
+    unified = F.replace(path, F.lit("\\"), F.lit("/"))
+    rest = F.when(F.startswith(unified, F.lit(PDF_ROOT)), F.substr(unified, F.lit(len(PDF_ROOT) + 1))).otherwise(unified)
     return F.concat(F.lit("/pdfs/"), F.array_join(F.transform(F.split(rest, "/"), encode_component), "/"))
 
 
@@ -113,3 +142,19 @@ def canonical_citation(x: Column) -> Column:
     full = F.when(F.length(year) == 2, F.concat(F.when(year.cast("int") >= 50, F.lit("19")).otherwise(F.lit("20")), year)).otherwise(year)
     place = F.when(kind.startswith("Regulamento"), F.lit("eu")).otherwise(F.lit("pt"))
     return F.concat(F.lit("instrument:"), place, F.lit(":"), slug, F.lit(":"), F.regexp_extract(x, CITATION, 2), F.lit("/"), full)
+
+
+def canonical_provision(key: Column) -> Column:
+    """A provision's key as <act>:art-<number>[-n<paragraph>], in whichever of its spellings it comes.
+
+    The article stands after "art" or at the end of the key; a number after it is the paragraph,
+    with or without its n. Keys without an article stay as they are.
+    """
+    marked = r"^(.*?)[:-]art[.-]?(\d+[a-z]?(?:-[a-z](?![a-z0-9]))?)(?:-n?(\d+))?$"
+    bare = r"^(.*?):(\d+[a-z]?)(?:-n?(\d+))?$"
+    out = key
+    for form in (bare, marked):
+        number = F.regexp_extract(key, form, 3)
+        full = F.concat(F.regexp_extract(key, form, 1), F.lit(":art-"), F.regexp_extract(key, form, 2), F.when(number != "", F.concat(F.lit("-n"), number)).otherwise(F.lit("")))
+        out = F.when(F.regexp_extract(key, form, 2) != "", full).otherwise(out)
+    return out

@@ -33,10 +33,10 @@ def filter_facets(df: DataFrame, **wanted: str) -> DataFrame:
 
 
 def with_taxonomy(df: DataFrame, label: str, taxonomy: DataFrame) -> DataFrame:
-    """df with topic_kind and sector of its exact label; "unmapped" if the list lacks it.
+    """df with topic_kind, sector and categories of its exact label; "unmapped" and no category if the list lacks it.
 
     taxonomy is a reference list; Spark broadcasts it if its size is known to be small.
     """
-    tax = taxonomy.select(F.col("topic").alias(label), "topic_kind", "sector")
+    tax = taxonomy.select(F.col("topic").alias(label), "topic_kind", "sector", F.col("categories").alias("topic_categories"))
     joined = df.join(tax, label, "left")
-    return joined.withColumn("topic_kind", F.coalesce("topic_kind", F.lit("unmapped"))).withColumn("sector", first_filled(F.col("sector"), default="unmapped"))
+    return joined.withColumn("topic_kind", F.coalesce("topic_kind", F.lit("unmapped"))).withColumn("sector", first_filled(F.col("sector"), default="unmapped")).withColumn("topic_categories", F.coalesce("topic_categories", F.array().cast("array<string>")))

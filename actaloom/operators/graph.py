@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actaloom.functions.identity import assertion_id
-from actaloom.functions.text import slugify
+from actaloom.functions.text import predicate_label, slugify
+from actaloom.operators import families
+from actaloom.operators.paging import ranked
 from actaloom.session import cut
 
 #: Node groups of the payload's top level.
@@ -20,13 +22,54 @@ def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return best.select(key, *(F.col(f"_m._row.{c}").alias(c) for c in rest))
 
 
-def metadata_edges(catalog: DataFrame) -> DataFrame:
-    """Edges that follow from the catalog alone: about_topic and published_by, with their ids."""
+def document(key: str) -> Column:
+    return F.concat(F.lit("document:"), F.col(key).cast("string"))
+
+
+def edge(rows: DataFrame, subject: Column, predicate: str, target: Column) -> DataFrame:
+    return rows.select(subject.alias("subject"), F.lit(predicate).alias("predicate"), target.alias("object"))
+
+
+def metadata_edges(catalog: DataFrame, taxonomy: DataFrame, pages: DataFrame) -> DataFrame:
+    """Edges that follow from the tables alone, with their ids: about_topic, published_by, about_sector, exact_duplicate_of.
+
+    taxonomy: (topic, sector), a reference list. pages: (id, text); a document is a duplicate
+    of the least document of the same text.
+    """
     rows = catalog.filter(F.col("id").isNotNull()).select("id", "website", "topic").distinct()
-    subject = F.concat(F.lit("document:"), "id")
-    topic = rows.filter(F.coalesce("topic", F.lit("")) != "").select(subject.alias("subject"), F.lit("about_topic").alias("predicate"), F.concat(F.lit("topic:"), slugify(F.col("topic"))).alias("object"))
-    site = rows.filter(F.coalesce("website", F.lit("")) != "").select(subject.alias("subject"), F.lit("published_by").alias("predicate"), F.concat(F.lit("organization:"), slugify(F.col("website"))).alias("object"))
-    return topic.union(site).distinct().withColumn("assertion_id", assertion_id(F.col("subject"), F.col("predicate"), F.col("object")))
+    filled = lambda c: rows.filter(F.coalesce(c, F.lit("")) != "")
+    topic = edge(filled("topic"), document("id"), "about_topic", F.concat(F.lit("topic:"), slugify(F.col("topic"))))
+    site = edge(filled("website"), document("id"), "published_by", F.concat(F.lit("organization:"), slugify(F.col("website"))))
+    sector = edge(filled("topic").join(taxonomy.filter("sector <> ''").select("topic", "sector"), "topic"), document("id"), "about_sector", F.concat(F.lit("sector:"), slugify(F.col("sector"))))
+    same = families.duplicate_of(pages, "id", "text").filter(F.col("id") != F.col("representative"))
+    copy = edge(same, document("id"), "exact_duplicate_of", document("representative"))
+    return topic.union(site).union(sector).union(copy).distinct().withColumn("assertion_id", assertion_id(F.col("subject"), F.col("predicate"), F.col("object")))
+
+
+def titles(catalog: DataFrame) -> DataFrame:
+    """(id, title): the least title of each document."""
+    return catalog.filter("id is not null").groupBy("id").agg(F.min("title").alias("title"))
+
+
+def hub_block(edges: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(object, place, id, title, label): the documents that point to each hub, by id; documents outside the catalog have no title.
+
+    A hub of a third of all edges is ranked by many tasks, see paging.ranked.
+    """
+    rows = edges.filter("subject like 'document:%' and object is not null and predicate is not null").select("object", F.expr("substr(subject, 10)").alias("id"), "predicate").distinct()
+    placed = ranked(rows, "object", ["id", "predicate"], "place")
+    return placed.join(titles(catalog), "id", "left").select("object", "place", "id", "title", predicate_label(F.col("predicate")).alias("label"))
+
+
+def source_block(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(subject, place, label, object, shown): what each document points to, by predicate and object.
+
+    labels: (object, label), names of hubs; hubs without one are shown by the rest of their key.
+    """
+    rows = edges.filter("subject like 'document:%' and object is not null and predicate is not null").select("subject", "predicate", "object").distinct()
+    placed = ranked(rows, "subject", ["predicate", "object"], "place")
+    shown = F.coalesce("label", F.regexp_replace("object", "^[^:]*:", ""))
+    return placed.join(labels, "object", "left").select("subject", "place", predicate_label(F.col("predicate")).alias("label"), "object", shown.alias("shown"))
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -46,19 +89,28 @@ def keywords(catalog: DataFrame) -> DataFrame:
     return rows.groupBy(F.concat(F.lit("topic:"), slugify(F.col("label"))).alias("key")).agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
 
 
-def payload_nodes(catalog: DataFrame) -> DataFrame:
-    """(id, type, n): the root with the number of documents, the groups, and topic nodes."""
-    docs = catalog.select(F.lit("root").alias("id"), F.lit("root").alias("type"), "id").select(F.lit("root").alias("node"), F.col("type")).groupBy("node", "type").agg(F.count(F.lit(1)).alias("n"))
+def payload_nodes(catalog: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(node, type, n): the root with the number of documents, the groups, topic nodes, and the ends of the edges of the catalog's documents.
+
+    Topics of the catalog count their documents, other ends their edges.
+    """
+    docs = catalog.agg(F.count(F.lit(1)).alias("n")).select(F.lit("root").alias("node"), F.lit("root").alias("type"), "n")
     spark = catalog.sparkSession
     groups = spark.createDataFrame([(f"group:{g}", "group") for g in GROUPS], "node string, type string").withColumn("n", F.lit(0).cast("bigint"))
     topics = keywords(catalog).select(F.col("key").alias("node"), F.lit("topic").alias("type"), "n")
-    return docs.unionByName(groups).unionByName(topics)
-
-
-def review_gate(df: DataFrame, first: str, second: str) -> DataFrame:
-    """df with `gate`: accepted if both accept, disputed if they differ, else rejected; unreviewed if one is missing."""
-    a, b = F.col(first), F.col(second)
-    return df.withColumn("gate", F.when(a.isNull() | b.isNull(), "unreviewed").when((a == "accept") & (b == "accept"), "accepted").when(a != b, "disputed").otherwise("rejected"))
+    out = docs.unionByName(groups).unionByName(topics)
+    if edges is None:
+        return out
+    links = payload_links(catalog, edges)
+    ends = links.select(F.col("source").alias("node")).unionAll(links.select("target")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return out.unionByName(ends.join(topics.select("node"), "node", "left_anti").select("node", F.split("node", ":")[0].alias("type"), "n"))
+
+
+def payload_links(catalog: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, target, label): distinct edges of the catalog's documents."""
+    own = catalog.filter("id is not null").select(document("id").alias("subject")).distinct()
+    rows = edges.filter("object is not null and predicate is not null").select("subject", "object", "predicate").distinct().join(own, "subject", "left_semi")
+    return rows.select(F.col("subject").alias("source"), F.col("object").alias("target"), predicate_label(F.col("predicate")).alias("label"))
 
 
 def khop(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:

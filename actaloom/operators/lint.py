@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actaloom.operators.graph import latest
+
 #: Bytes of one file that fail, and of the published artifact. Fixed values.
 FILE_LIMIT, ARTIFACT_LIMIT = 104_857_600, 996_147_200
 IGNORED = (".git", "node_modules", ".astro")
@@ -49,13 +51,27 @@ def aggregate_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select(F.sha2(F.concat_ws(":", "p0", "p1", "p2", "p3"), 256).alias("digest"))
 
 
-def lint_report(catalog: DataFrame, pages: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rule, n): violations by rule."""
-    no_page = catalog.select("rel_raw").filter("rel_raw is not null").distinct().join(pages.select("rel_raw"), "rel_raw", "left_anti")
-    no_entry = pages.select("rel_raw").filter("rel_raw is not null").distinct().join(catalog.select("rel_raw").filter("rel_raw is not null"), "rel_raw", "left_anti")
-    repeated = catalog.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    no_evidence = edges.filter((F.col("review_state") == "accepted") & (F.coalesce("evidence", F.lit("")) == ""))
-    rules = {"catalog-without-page": no_page, "page-without-catalog": no_entry, "repeated-id": repeated, "accepted-without-evidence": no_evidence}
+def lint_report(catalog: DataFrame, pages: DataFrame, edges: DataFrame, others: DataFrame | None = None, years: int = 10) -> DataFrame:
+    """(rule, n): violations by rule.
+
+    others: further catalogs' (rel_raw), whose pages are no orphans. A citation is missing where a
+    citing edge has no evidence; an authority is unverified where its edge's latest record is
+    not accepted; a record is stale if its year lies more than `years` before its import;
+    is_empty is wrong where a page is said to be empty and has text (it is never filtered on).
+    """
+    known = catalog.select("rel_raw") if others is None else catalog.select("rel_raw").union(others.select("rel_raw"))
+    now = latest(edges.filter("assertion_id is not null").select("assertion_id", "predicate", "review_state", "loaded_at", "recorded_at"), "assertion_id", ["loaded_at", "recorded_at"])
+    year = F.expr("try_cast(year as int)")
+    rules = {
+        "catalog-without-page": catalog.select("rel_raw").filter("rel_raw is not null").distinct().join(pages.select("rel_raw"), "rel_raw", "left_anti"),
+        "page-without-catalog": pages.select("rel_raw").filter("rel_raw is not null").distinct().join(known.filter("rel_raw is not null"), "rel_raw", "left_anti"),
+        "repeated-id": catalog.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"),
+        "accepted-without-evidence": edges.filter((F.col("review_state") == "accepted") & (F.coalesce("evidence", F.lit("")) == "")),
+        "missing-citation": edges.filter(F.col("predicate").startswith("cites_") & (F.coalesce("evidence", F.lit("")) == "")),
+        "unverified-authority": now.filter("predicate = 'cites_authority' and coalesce(review_state, '') <> 'accepted'"),
+        "stale-as-of": catalog.filter(F.expr("try_cast(substr(imported, 1, 4) as int)") - year > years),
+        "is-empty-wrong": pages.filter(F.col("is_empty").eqNullSafe("True") & F.col("text").rlike(r"\S")),
+    }
     out = None
     for name, df in rules.items():
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n")

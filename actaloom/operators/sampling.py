@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actaloom.operators.hash_pick import lowest_by_hash, priority
+from actaloom.operators.paging import ranked
 
 SALT = "pilot-precision-v1"
 
@@ -31,22 +32,25 @@ def precision_sample(edges: DataFrame, n: int, key: str = "assertion_id", stratu
 def pilot(df: DataFrame, key: str, mandatory: DataFrame, n: int, strata: list[str], seed: int = 46) -> DataFrame:
     """(key, chosen): all mandatory keys, then the strata's turn by hash until n are reached.
 
-    In each stratum rows are ranked by hash; all first ones come before all second ones.
+    In each stratum rows are ranked by hash; all first ones come before all second ones. No
+    stratum gives more than n rows, so only its n lowest hashes are ranked.
     """
     keys = df.groupBy(key).agg(*(F.min(F.coalesce(F.col(s), F.lit("unknown"))).alias(s) for s in strata))
     must = mandatory.select(key).distinct().join(keys.select(key), key, "left_semi")
-    rest = keys.join(must, key, "left_anti").withColumn("_p", priority(key, str(seed)))
-    turn = F.row_number().over(Window.partitionBy(*strata).orderBy("_p", key))
     left = max(0, n - must.count())
-    filled = rest.withColumn("_t", turn).filter(F.col("_t") <= n).orderBy("_t", "_p", key).limit(left)
+    rest = keys.join(must, key, "left_anti").withColumn("_s", F.concat_ws("\x1f", *strata))
+    quotas = rest.select("_s").distinct().withColumn("take", F.lit(left))
+    few = lowest_by_hash(rest, key, quotas, "_s", str(seed)).withColumn("_p", priority(key, str(seed)))
+    turn = F.row_number().over(Window.partitionBy("_s").orderBy("_p", key))
+    filled = few.withColumn("_t", turn).orderBy("_t", "_p", key).limit(left)
     return must.withColumn("chosen", F.lit("mandatory")).unionByName(filled.select(key, F.lit("stratum").alias("chosen")))
 
 
 def batches(df: DataFrame, key: str, size: int, salt: str = "batch") -> DataFrame:
-    """(key, batch): keys in fixed batches of about `size`, by hash range instead of a global sort."""
-    total = df.select(key).distinct().count()
-    count = max(1, -(-total // size))
-    return df.select(key).distinct().withColumn("batch", (F.pmod(priority(key, salt), F.lit(count)) + 1).cast("bigint"))
+    """(key, batch): distinct keys in batches of exactly `size` by the order of their hashes, the last one smaller."""
+    keys = df.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("_p", priority(key, salt)).withColumn("_all", F.lit(0))
+    rn = ranked(keys, "_all", ["_p", key])
+    return rn.select(key, (F.floor((F.col("rn") - 1) / size) + 1).cast("bigint").alias("batch"))
 
 
 __all__ = ["batches", "lowest_by_hash", "pilot", "precision_sample"]

@@ -1,11 +1,19 @@
-"""Ranked full-text search over an inverted index of words."""
+"""Ranked full-text search over a stored inverted index of words."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actaloom.session import file_system, run_dir
+
 K1, B = 1.2, 0.75
+#: Folders that the postings are spread over by their word; a query reads those of its words only.
+BUCKETS = 64
 
 
 def words(x: Column) -> Column:
@@ -20,39 +28,74 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def query_words(query: str) -> list[str]:
-    import re
-
     return sorted(set(re.findall(r"[^\W_]+", query.lower())))
 
 
-def occurrences(array: str, word: str) -> Column:
-    return F.size(F.filter(array, lambda w: w == word))
+def bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass
+class Index:
+    """postings: (key, word, tf, len, bucket); docs and mean: number and mean length of the texts."""
+
+    postings: DataFrame
+    key: str
+    docs: int
+    mean: float
+
+
+def build_index(df: DataFrame, key: str, text: str, path: str) -> None:
+    """Writes the index of df to path: a posting for each row and word, sorted by word in each folder."""
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key), words(F.col(text)).alias("w"))
+    numbered = rows.select(F.monotonically_increasing_id().alias("_row"), key, F.size("w").alias("len"), "w")  # before the words are laid out
+    spread_out = numbered.select("_row", key, "len", F.explode("w").alias("word"))
+    counted = spread_out.groupBy("_row", "word").agg(F.first(key).alias(key), F.first("len").alias("len"), F.count(F.lit(1)).alias("tf"))
+    counted.select(key, "word", "tf", "len", bucket(F.col("word")).alias("bucket")).repartition(F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def indexed(df: DataFrame, key: str, text: str) -> Index:
+    """The index of a table of files, built once in an application for the state that the files are in."""
+    spark = df.sparkSession
+    state = []
+    for f in sorted(df.inputFiles()):
+        fs, p = file_system(spark, f)
+        s = fs.getFileStatus(p)
+        state.append((f, s.getLen(), s.getModificationTime()))
+    path = f"{run_dir(spark)}/index-{hashlib.sha256(repr((state, key, text)).encode()).hexdigest()[:24]}"
+    fs, done = file_system(spark, f"{path}/totals/_SUCCESS")
+    if not state or not fs.exists(done):
+        build_index(df, key, text, path)
+    return read_index(spark, path, key, df.schema[key].dataType.simpleString())
+
+
+def read_index(spark: SparkSession, path: str, key: str, kind: str) -> Index:
+    """The index at path; kind: type of the key."""
+    total = spark.read.parquet(f"{path}/totals").first()
+    rows = spark.read.schema(f"`{key}` {kind}, word string, tf bigint, len int, bucket int").parquet(f"{path}/postings")
+    return Index(rows, key, total["docs"], total["mean"] or 0.0)
 
 
-def bm25(df: DataFrame, key: str, text: str, query: str) -> DataFrame:
+def bm25(index: Index, query: str) -> DataFrame:
     """(key, score) of all rows that hold every word of the query; score rounded to six places.
 
-    Only postings of the query's words leave the scan; lengths and document counts come from
-    one aggregate. An empty query matches nothing.
+    Reads the postings of the query's words alone. An empty query matches nothing.
     """
-    asked = query_words(query)
-    rows = df.filter(F.col(text).isNotNull()).select(key, words(F.col(text)).alias("w"))
-    stats = rows.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean"))
-    hits = rows.select(key, F.size("w").alias("len"), *(occurrences("w", a).alias(f"tf{i}") for i, a in enumerate(asked)))
-    if not asked:
-        return df.limit(0).select(key, F.lit(0.0).alias("score"))
-    df_counts = rows.agg(*(F.sum(F.array_contains("w", a).cast("int")).alias(f"df{i}") for i, a in enumerate(asked)))
-    for i in range(len(asked)):
-        hits = hits.filter(F.col(f"tf{i}") > 0)
-    joined = hits.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(df_counts))  # one row each
-    score = sum(
-        F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-        for i in range(len(asked))
-    )
-    return joined.select(key, F.round(score, 6).alias("score"))
+    asked, spark = query_words(query), index.postings.sparkSession
+    hits = index.postings.filter(F.col("word").isin(asked))
+    places = sorted({r["b"] for r in spark.createDataFrame([(w,) for w in asked], "w string").select(bucket(F.col("w")).alias("b")).collect()})
+    hits = hits.filter(F.col("bucket").isin(places))  # folders left out before any file is read
+    held = {r["word"]: r["n"] for r in hits.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a word of the query
+    if not asked or len(held) < len(asked):
+        return index.postings.limit(0).select(index.key, F.lit(0.0).alias("score"))
+    idf = F.create_map(*(F.lit(x) for w in asked for x in (w, float(held[w]))))[F.col("word")]
+    part = F.log(1 + (F.lit(float(index.docs)) - idf + 0.5) / (idf + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(index.mean)))
+    scored = hits.select(index.key, part.alias("part")).groupBy(index.key).agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("n"))
+    return scored.filter(F.col("n") == len(asked)).select(index.key, F.round("score", 6).alias("score"))
 
 
 def top_hits(scored: DataFrame, key: str, k: int = 100) -> DataFrame:
     """The k best rows with the number of all matches; ties go to the lesser key."""
     total = scored.agg(F.count(F.lit(1)).alias("matches"))
-    return scored.orderBy(F.desc("score"), key).limit(k).crossJoin(F.broadcast(total))
+    return scored.orderBy(F.desc("score"), key).limit(k).crossJoin(F.broadcast(total))  # one row

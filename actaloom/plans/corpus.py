@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from actaloom.functions import identity as I
 from actaloom.functions import text as T
 from actaloom.functions.markdown import to_html
-from actaloom.operators import facets, families, graph, lint, merge, paging, sampling, search, tree
+from actaloom.operators import facets, families, graph, lint, merge, paging, sampling, search, texts, tree
 from actaloom.session import shared_dir, table
 from actaloom.sources import readers
 from actaloom.streaming import ingest
@@ -208,12 +208,11 @@ def ignore_paths(s, d):
     return law(s, d).filter(F.col("folder").isNull() | ~bad).agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("""with p as (select id, max(text) as text from raw_pages where text is not null group by id), c as (select distinct assertion_id, substr(subject, 10) as id, evidence from connections where subject like 'document:%' and evidence <> '')
+@query("""with p as (select id, min(text) as text from raw_pages where text is not null group by id), c as (select distinct assertion_id, substr(subject, 10) as id, evidence from connections where subject like 'document:%' and evidence <> '')
 select c.assertion_id, c.evidence, contains(p.text, c.evidence) as supported from c join p using (id)""")
 def evidence_contains(s, d):
-    text = pages(s, d).filter("text is not null").groupBy("id").agg(F.max("text").alias("text"))
-    claims = edges(s, d).filter("subject like 'document:%' and evidence <> ''").select("assertion_id", F.expr("substr(subject, 10)").alias("id"), "evidence").distinct()
-    return claims.join(text, "id").select("assertion_id", "evidence", F.col("text").contains(F.col("evidence")).alias("supported"))
+    claims = edges(s, d).filter("subject like 'document:%' and evidence <> ''").select("assertion_id", F.expr("substr(subject, 10)").alias("id"), "evidence")
+    return texts.supported(claims, "id", "evidence", pages(s, d), "id", "text").select("assertion_id", "evidence", "supported")
 
 
 @query("select distinct id from law_catalog where 'document:' || id in (select subject from connections where predicate = 'has_outcome' and review_state = 'accepted')")
@@ -246,8 +245,7 @@ def facet_distinct(s, d):
 
 @query("select website, year, topic, cast(grouping(website, year, topic) as bigint) as gid, count(*) as n from law_catalog group by grouping sets ((website), (year), (topic), ())")
 def facet_grouping_sets(s, d):
-    law(s, d).createOrReplaceTempView("law_catalog_facets")
-    return s.sql("select website, year, topic, cast(grouping_id(website, year, topic) as bigint) as gid, count(*) as n from law_catalog_facets group by grouping sets ((website), (year), (topic), ()) ")
+    return law(s, d).groupingSets([["website"], ["year"], ["topic"], []], "website", "year", "topic").agg(F.grouping_id("website", "year", "topic").cast("bigint").alias("gid"), F.count(F.lit(1)).alias("n"))
 
 
 @query("select website, year, count(*) as n from law_catalog group by rollup (website, year)")
@@ -315,9 +313,9 @@ def top_per_group(s, d):
 _PRIO = "cast(('0x' || substr(sha256('{}' || ':' || {}), 1, 15)) as bigint)"
 
 
-@query(f"with k as (select distinct id from law_catalog where id is not null), n as (select greatest(1, cast(ceil(count(*) / 25.0) as bigint)) as n from k) select id, {_PRIO.format('batch', 'id')} % n.n + 1 as batch from k cross join n")
+@query(f"select id, (row_number() over (order by {_PRIO.format('batch', 'id')}, id) - 1) // 25 + 1 as batch from (select distinct id from law_catalog where id is not null)")
 def batch_assign(s, d):
-    return sampling.batches(law(s, d).filter("id is not null"), "id", 25)
+    return sampling.batches(law(s, d), "id", 25)
 
 
 # --- folder trees -------------------------------------------------------------------------
@@ -338,9 +336,13 @@ def tree_filter(s, d):
 _WORDS = "with w as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0) as w from documents where text is not null)"
 
 
+def index(s: SparkSession, d: str) -> search.Index:
+    return search.indexed(table(s, d, "documents"), "doc_id", "text")
+
+
 @query(f"{_WORDS} select doc_id from w where list_contains(w, 'contador') and list_contains(w, 'fatura')")
 def search_match(s, d):
-    return search.bm25(table(s, d, "documents"), "doc_id", "text", "Contador fatura").select("doc_id")
+    return search.bm25(index(s, d), "Contador fatura").select("doc_id")
 
 
 _BM25 = f"""{_WORDS}, st as (select count(*) as docs, avg(len(w)) as mean, sum(cast(list_contains(w, 'contador') as int)) as d0, sum(cast(list_contains(w, 'fatura') as int)) as d1 from w),
@@ -350,12 +352,12 @@ s as (select doc_id, round(ln(1 + (docs - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (
 
 @query(f"{_BM25} select doc_id, score from s")
 def search_bm25(s, d):
-    return search.bm25(table(s, d, "documents"), "doc_id", "text", "Contador fatura")
+    return search.bm25(index(s, d), "Contador fatura")
 
 
 @query(f"{_BM25} select doc_id, score, (select count(*) from s) as matches from s order by score desc, doc_id limit 100")
 def search_topk(s, d):
-    return search.top_hits(search.bm25(table(s, d, "documents"), "doc_id", "text", "Contador fatura"), "doc_id")
+    return search.top_hits(search.bm25(index(s, d), "Contador fatura"), "doc_id")
 
 
 @query(f"{_WORDS}, x as (select doc_id, unnest(w) as word from w), p as (select doc_id, word, count(*) as tf from x group by all) select word, count(*) as docs, cast(sum(tf) as bigint) as total from p group by word")
@@ -437,15 +439,6 @@ def graph_payload(s, d):
     return graph.payload_nodes(law(s, d))
 
 
-_META = f"""select distinct 'document:' || id as subject, 'about_topic' as predicate, 'topic:' || {SLUG.format('topic')} as object from law_catalog where id is not null and coalesce(topic, '') <> ''
-union select distinct 'document:' || id, 'published_by', 'organization:' || {SLUG.format('website')} from law_catalog where id is not null and coalesce(website, '') <> ''"""
-
-
-@query(f"select *, 'conn_' || substr(sha256(subject || ':' || predicate || ':' || object), 1, 24) as assertion_id from ({_META})")
-def metadata_edges(s, d):
-    return graph.metadata_edges(law(s, d))
-
-
 _HOP = "with b as (select subject as a, object as b from connections where subject is not null and object is not null union select object, subject from connections where subject is not null and object is not null)"
 
 
@@ -457,27 +450,6 @@ def khop(s, d):
     return graph.khop(rows, s.range(1).select(F.lit("outcome:improcedente-total").alias("node")), 2)
 
 
-_VERDICT = "with v as (select assertion_id, max(case when method in ('regex', 'metadata') then case when review_state = 'accepted' then 'accept' else 'reject' end end) as r1, max(case when method not in ('regex', 'metadata') then case when review_state = 'accepted' then 'accept' else 'reject' end end) as r2 from connections where assertion_id is not null and review_state is not null group by 1)"
-
-
-def verdicts(s: SparkSession, d: str) -> DataFrame:
-    """Two verdicts an assertion: of its rows by rule and of its rows by model."""
-    v = F.when(F.col("review_state") == "accepted", "accept").otherwise("reject")
-    rule = F.col("method").isin("regex", "metadata")
-    return edges(s, d).filter("assertion_id is not null and review_state is not null").groupBy("assertion_id").agg(F.max(F.when(rule, v)).alias("r1"), F.max(F.when(~rule, v)).alias("r2"))
-
-
-@query(f"{_VERDICT} select assertion_id, r1, r2, case when r1 is null or r2 is null then 'unreviewed' when r1 = 'accept' and r2 = 'accept' then 'accepted' when r1 <> r2 then 'disputed' else 'rejected' end as gate from v")
-def review_gate(s, d):
-    return graph.review_gate(verdicts(s, d), "r1", "r2")
-
-
-@query("select count(*) as n, round(100 * avg(case when (review_state = 'accepted') = (method in ('regex', 'metadata')) then 1.0 else 0.0 end), 1) as agreement from connections where review_state is not null and method is not null")
-def agreement_rate(s, d):
-    same = (F.col("review_state") == "accepted") == F.col("method").isin("regex", "metadata")
-    return edges(s, d).filter("review_state is not null and method is not null").agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg(F.when(same, 1.0).otherwise(0.0)), 1).alias("agreement"))
-
-
 @query("select lower(evidence) as label, count(distinct object) as keys from connections where evidence is not null and object is not null group by 1 having count(distinct object) > 1")
 def label_clashes(s, d):
     return graph.label_clashes(edges(s, d), "evidence", "object")
@@ -489,17 +461,18 @@ def stratified_sample(s, d):
     return sampling.precision_sample(edges(s, d), 100)
 
 
-@query("""with r as (select assertion_id, max(review_state) as state from connections where assertion_id is not null group by 1) select count(*) as sample, count(*) filter (state = 'accepted') as correct, round(100.0 * count(*) filter (state = 'accepted') / count(*), 1) as precision from r""")
-def precision_metric(s, d):
-    rows = edges(s, d).filter("assertion_id is not null").groupBy("assertion_id").agg(F.max("review_state").alias("state"))
-    good = F.sum(F.when(F.col("state") == "accepted", 1).otherwise(0))
-    return rows.agg(F.count(F.lit(1)).alias("sample"), good.alias("correct"), F.round(100.0 * good / F.count(F.lit(1)), 1).alias("precision"))
+_PILOT = f"""with k as (select id, min(coalesce(website, 'unknown')) as website, min(coalesce(topic, 'unknown')) as topic, min(coalesce(year, 'unknown')) as year from law_catalog where id is not null group by id),
+texts as (select distinct id, sha256(text) as h from raw_pages where text is not null and id is not null), twins as (select id from texts where h in (select h from texts group by h having count(*) > 1)),
+must as (select id from k where id in (select id from raw_pages where length(text) <= 500) or id in (select id from twins)), rest as (select *, {_PRIO.format('46', 'id')} as p from k where id not in (select id from must)),
+turns as (select *, row_number() over (partition by website, topic, year order by p, id) as t from rest)"""
 
 
-@query()
+@query(f"{_PILOT} select id, 'mandatory' as chosen from must union all select * from (select id, 'stratum' from turns order by t, p, id limit (select greatest(0, 250 - count(*)) from must))")
 def pilot_selection(s, d):
+    """A pilot of 250: all documents of short texts and of texts that others have, then the strata in turn."""
     short = pages(s, d).filter("length(text) <= 500").select("id")
-    return sampling.pilot(law(s, d).filter("id is not null"), "id", short, 250, ["website", "topic", "year"])
+    twins = families.duplicate_of(pages(s, d), "id", "text").select("id")
+    return sampling.pilot(law(s, d).filter("id is not null"), "id", short.union(twins), 250, ["website", "topic", "year"])
 
 
 # --- versions and increments --------------------------------------------------------------
@@ -570,18 +543,30 @@ def aggregate_hash(s, d):
     return lint.aggregate_hash(law(s, d), ["csv_row", "id", "title", "topic_raw"])
 
 
-@query("""select 'catalog-without-page' as rule, (select count(distinct rel_raw) from law_catalog where rel_raw is not null and rel_raw not in (select rel_raw from raw_pages where rel_raw is not null)) as n
-union all select 'page-without-catalog', (select count(distinct rel_raw) from raw_pages where rel_raw is not null and rel_raw not in (select rel_raw from law_catalog where rel_raw is not null))
+@query("""with now as (select * from (select assertion_id, predicate, review_state, row_number() over (partition by assertion_id order by loaded_at desc, recorded_at desc, predicate desc, review_state desc nulls last) as rn from connections where assertion_id is not null) where rn = 1)
+select 'catalog-without-page' as rule, (select count(distinct rel_raw) from law_catalog where rel_raw is not null and rel_raw not in (select rel_raw from raw_pages where rel_raw is not null)) as n
+union all select 'page-without-catalog', (select count(distinct rel_raw) from raw_pages where rel_raw is not null and rel_raw not in (select rel_raw from law_catalog where rel_raw is not null union select rel_raw from pdf_catalog where rel_raw is not null))
 union all select 'repeated-id', (select count(*) from (select id from law_catalog where id is not null group by id having count(*) > 1))
-union all select 'accepted-without-evidence', (select count(*) from connections where review_state = 'accepted' and coalesce(evidence, '') = '')""")
+union all select 'accepted-without-evidence', (select count(*) from connections where review_state = 'accepted' and coalesce(evidence, '') = '')
+union all select 'missing-citation', (select count(*) from connections where predicate like 'cites\\_%' escape '\\' and coalesce(evidence, '') = '')
+union all select 'unverified-authority', (select count(*) from now where predicate = 'cites_authority' and coalesce(review_state, '') <> 'accepted')
+union all select 'stale-as-of', (select count(*) from law_catalog where try_cast(substr(imported, 1, 4) as int) - try_cast(year as int) > 10)
+union all select 'is-empty-wrong', (select count(*) from raw_pages where is_empty = 'True' and regexp_matches(text, '\\S'))""")
 def lint_report(s, d):
-    return lint.lint_report(law(s, d), pages(s, d), edges(s, d))
+    return lint.lint_report(law(s, d), pages(s, d), edges(s, d), pdf(s, d))
 
 
-@query("""with p as (select rel_raw, max(text) as text from raw_pages where rel_raw is not null group by 1)
+@query("""with p as (select rel_raw, min(text) as text from raw_pages where rel_raw is not null group by 1)
 select l.csv_row, l.rel_raw, length(coalesce(p.text, '')) as chars from law_catalog l left join p on p.rel_raw = l.rel_raw""")
 def page_join(s, d):
-    return readers.page_text(law(s, d).select("csv_row", "rel_raw"), pages(s, d)).select("csv_row", "rel_raw", F.length("text").cast("bigint").alias("chars"))
+    return readers.page_values(law(s, d).select("csv_row", "rel_raw"), pages(s, d), F.length("text").cast("bigint"), "chars").select("csv_row", "rel_raw", "chars")
+
+
+@query("""with p as (select rel_raw, min(text) as text from raw_pages where rel_raw is not null group by 1)
+select l.csv_row, sha256(coalesce(p.text, '')) as h from law_catalog l left join p on p.rel_raw = l.rel_raw where l.year = '2022'""")
+def page_read(s, d):
+    """The texts of some records' pages; a missing page reads as ""."""
+    return readers.page_text(law(s, d).filter("year = '2022'").select("csv_row", "rel_raw"), pages(s, d)).select("csv_row", F.sha2("text", 256).alias("h"))
 
 
 @query("select 'documents' as stat, count(*) as n from law_catalog union all select 'pdfs', count(distinct pdf_path) from pdf_catalog union all select 'pages', count(distinct rel_raw) from raw_pages")
@@ -614,14 +599,6 @@ def select_options(s, d):
     return law(s, d).filter(F.coalesce("topic", F.lit("")) != "").select(F.col("topic").alias("option")).distinct().orderBy(F.collate("option", "pt"))
 
 
-@query("""with e as (select assertion_id, min(predicate) as predicate, max(review_state) as state, min(method) as method from connections where assertion_id is not null group by 1)
-select count(*) as candidates, count(distinct predicate) as predicates, count(*) filter (state = 'accepted') as accepted, count(*) filter (coalesce(state, '') <> 'accepted') as queue, count(*) filter (method = 'regex') as by_regex from e""")
-def pilot_report(s, d):
-    e = edges(s, d).filter("assertion_id is not null").groupBy("assertion_id").agg(F.min("predicate").alias("predicate"), F.max("review_state").alias("state"), F.min("method").alias("method"))
-    yes = F.col("state") == "accepted"
-    return e.agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct("predicate").alias("predicates"), F.count_if(yes).alias("accepted"), F.count_if(~F.coalesce(yes, F.lit(False))).alias("queue"), F.count_if(F.col("method") == "regex").alias("by_regex"))
-
-
 @query()
 def markdown_html(s, d):
     return pages(s, d).filter("text is not null").select("rel_raw", to_html(F.col("text")).alias("html"))
@@ -649,11 +626,13 @@ def ordered_log(s, d):
     return table(s, d, "events").select("user_id", "event_id", "ts", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("previous"))
 
 
-@query()
+@query("""with w as (select date_trunc('hour', ts) as window_start, event_type, count(*) as n from events group by 1, 2)
+select * from w where window_start + interval 1 hour <= (select max(ts) - interval 1 hour from events)""")
 def stream_windows(s, d):
     """Hourly counts by a stream with a watermark; windows still open at the end are not appended."""
     work = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
-    return ingest.run_windowed(s, f"{d}/events.parquet*", table(s, d, "events").schema, "ts", "event_type", f"{work}/out", f"{work}/state")
+    out = ingest.run_windowed(s, f"{d}/events.parquet*", table(s, d, "events").schema, "ts", "event_type", f"{work}/out", f"{work}/state")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("select distinct rel_raw, 'written' as status from raw_pages where rel_raw is not null")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actaloom.functions.identity import content_hash, relative_path, stem
-from actaloom.functions.text import frontmatter_value, full_text
+from actaloom.functions.text import frontmatter_list, frontmatter_value, full_text, section
+from actaloom.operators.merge import incremental_status
+from actaloom.operators.texts import one_text
+from actaloom.session import cut, file_system
 
 _TEXT = ["id", "title", "filename", "folder", "year", "website", "topic", "topic_raw", "rel_raw", "rel_source"]
 CATALOG = T.StructType([T.StructField(n, T.StringType()) for n in _TEXT] + [T.StructField("pdf_path", T.StringType()), T.StructField("categories", T.ArrayType(T.StringType()))])
@@ -27,17 +30,35 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).json(path)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, id, website, year, text) of markdown pages with frontmatter."""
+#: Keys of a source page's frontmatter that hold lists.
+LISTS = ("tags", "aliases", "categories", "sectors", "doctrines", "cited_instruments", "duplicate_of")
+
+
+def read_pages(spark: SparkSession, path: str, keys: tuple[str, ...] = ("id", "website", "year"), sections: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """(path, a column for each key, one for each section, text) of markdown pages with frontmatter.
+
+    keys named in LISTS are arrays. sections: column -> (heading, heading of the next section).
+    """
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumn("path", F.col("_metadata.file_path"))
-    keys = [frontmatter_value(F.col("value"), k).alias(k) for k in ("id", "website", "year")]
-    return rows.select("path", *keys, full_text(F.col("value")).alias("text"))
+    value = F.col("value")
+    heads = [(frontmatter_list if k in LISTS else frontmatter_value)(value, k).alias(k) for k in keys]
+    parts = [section(value, *names).alias(column) for column, names in (sections or {}).items()]
+    return rows.select("path", *heads, *parts, full_text(value).alias("text"))
+
+
+def page_values(catalog: DataFrame, pages: DataFrame, value: Column, name: str, rel: str = "rel_raw", text: str = "text") -> DataFrame:
+    """catalog with `name`: an expression over the text of its page, computed where the text lies; a missing page reads as "".
+
+    value is an expression over the column `text`; only its result is shuffled.
+    """
+    found = one_text(pages, rel, text).select(F.col("rel").alias(rel), F.coalesce("text", F.lit("")).alias("text")).select(rel, value.alias(name)).dropDuplicates([rel])
+    empty = catalog.sparkSession.range(1).select(F.lit("").alias("text")).select(value.alias("_empty")).first()[0]
+    return catalog.join(found, rel, "left").withColumn(name, F.coalesce(name, F.lit(empty)))
 
 
 def page_text(catalog: DataFrame, pages: DataFrame, rel: str = "rel_raw") -> DataFrame:
-    """catalog with the text of its page; a missing page reads as ""."""
-    texts = pages.select(rel, "text").filter(F.col(rel).isNotNull()).groupBy(rel).agg(F.max("text").alias("text"))
-    return catalog.join(texts, rel, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    """catalog with the text of its page; a missing page reads as "". The texts themselves are joined; see page_values for what is computed of them."""
+    return page_values(catalog, pages, F.col("text"), "text", rel)
 
 
 def file_sizes(spark: SparkSession, root: str) -> DataFrame:
@@ -64,3 +85,17 @@ def read_pdfs(spark: SparkSession, root: str, extractor: Callable[[bytes], str])
     name = F.element_at(parts, -1)
     rows = files.select(rel.alias("pdf_path"), name.alias("filename"), stem(name).alias("title"), parts[0].alias("website"), F.when(F.size(parts) > 2, parts[1]).otherwise(F.lit("unknown")).alias("year"), extract("content").alias("text"))
     return rows.withColumn("content_hash", content_hash(F.col("text")))
+
+
+def import_pdfs(spark: SparkSession, root: str, store: str, extractor: Callable[[bytes], str]) -> tuple[DataFrame, DataFrame]:
+    """(catalog, protected) after one import of root into the store: new files are added, changed texts reported and never written.
+
+    catalog: all files of the store; protected: pdf_path of those whose text differs from the
+    stored one. A second run over the same files adds nothing.
+    """
+    rows = cut(read_pdfs(spark, root, extractor))
+    fs, p = file_system(spark, store)
+    old = spark.read.schema(rows.schema).parquet(store) if fs.exists(p) else spark.createDataFrame([], rows.schema)
+    status = cut(incremental_status(old, rows, "pdf_path", "content_hash"))
+    rows.join(status.filter("status = 'written'").select("pdf_path"), "pdf_path", "left_semi").write.mode("append").parquet(store)
+    return spark.read.schema(rows.schema).parquet(store), status.filter("status = 'protected'").select("pdf_path")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actaloom.operators.merge import incremental_status
+from actaloom.session import cut, file_system
 
 
 def ingest_batch(batch: DataFrame, path: str, key: str, digest: str) -> DataFrame:
@@ -16,13 +17,9 @@ def ingest_batch(batch: DataFrame, path: str, key: str, digest: str) -> DataFram
     """
     spark = batch.sparkSession
     rows = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    try:
-        stored = spark.read.schema(rows.schema).parquet(path)
-        stored.limit(1).collect()
-    except Exception:  # the store does not exist yet
-        stored = spark.createDataFrame([], rows.schema)
-    status = incremental_status(stored, rows, key, digest).filter(F.col("status") != "absent")
-    status = status.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else status
+    fs, store = file_system(spark, path)
+    stored = spark.read.schema(rows.schema).parquet(path) if fs.exists(store) else spark.createDataFrame([], rows.schema)
+    status = cut(incremental_status(stored, rows, key, digest).filter(F.col("status") != "absent"))
     rows.join(status.filter(F.col("status") == "written").select(key), key, "left_semi").write.mode("append").parquet(path)
     return status
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from actaloom.functions import identity as I
@@ -62,11 +64,45 @@ def test_readers_and_sinks(spark, tmp_path):
     docs = spark.createDataFrame([("1", "W", "2020"), ("2", "W", "2021")], "id string, website string, year string")
     sinks.write_raw_store(docs, str(tmp_path / "store"))
     sinks.write_raw_store(docs, str(tmp_path / "store"))
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 2
     sinks.write_json_lines(docs, str(tmp_path / "j"))
     assert readers.read_jsonl(spark, str(tmp_path / "j"), readers.CATALOG).filter("website = 'W'").count() == 2
-    assert '"documents":[' in sinks.json_document(docs).first()["json"]
+    sinks.write_json_document(docs, str(tmp_path / "doc"))
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
+    assert [d["id"] for d in json.loads(whole)["documents"]] == ["1", "2"]
+    sinks.write_json_document(docs.limit(0), str(tmp_path / "none"))
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == {"documents": []}
     manifest = spark.createDataFrame([("W/2020/a.md",)], "rel string")
     assert sinks.copy_files(manifest, str(tmp_path / "raw"), str(tmp_path / "public")) == 1
     assert (tmp_path / "public/W/2020/a.md").read_text() == page
     assert readers.input_fingerprint(spark, str(tmp_path / "c.csv")).first()["size"] == 23
+
+
+def test_pdf_import_is_idempotent_and_protects(spark, tmp_path):
+    (tmp_path / "pdfs/Fornecidos/2026").mkdir(parents=True)
+    (tmp_path / "pdfs/Fornecidos/2026/Contrato.pdf").write_bytes(b"%PDF-test")
+    for text, protected in (("Primeira", 0), ("Primeira", 0), ("Outra", 1)):
+        rows, kept = readers.import_pdfs(spark, str(tmp_path / "pdfs"), str(tmp_path / "store"), lambda _, text=text: text)
+        assert [(r["website"], r["year"], r["text"]) for r in rows.collect()] == [("Fornecidos", "2026", "Primeira")] and kept.count() == protected
+
+
+def test_frontmatter_lists_and_blocks(spark):
+    page = '---\nid: "x"\ntags: ["a b", "c"]\naliases: [d, \'e f\']\nsectors: []\n---\nbody'
+    assert one(spark, page, lambda x: T.frontmatter_list(x, "tags")) == ["a b", "c"]
+    assert one(spark, page, lambda x: T.frontmatter_list(x, "aliases")) == ["d", "e f"]
+    assert one(spark, page, lambda x: T.frontmatter_list(x, "sectors")) == one(spark, page, lambda x: T.frontmatter_list(x, "absent")) == []
+    assert one(spark, "---\nno end", T.strip_frontmatter) == "---\nno end" and one(spark, page, T.strip_frontmatter) == "body"
+    assert one(spark, "---\r\na: 1\r\n---\r\nx\r\n", T.strip_frontmatter) == "x\r\n"
+    first = one(spark, page, lambda x: sinks.replace_head_block(x, F.lit("state: r")))
+    assert first == page.replace("\n---\nbody", f"\n{sinks.HEAD_BEGIN}\nstate: r\n{sinks.HEAD_END}\n---\nbody")
+    assert one(spark, first, lambda x: sinks.replace_head_block(x, F.lit("state: s"))) == first.replace("state: r", "state: s")
+    assert one(spark, "plain", lambda x: sinks.replace_head_block(x, F.lit("s"))) == "plain"
+
+
+def test_provisions(spark):
+    forms = {
+        "provision:pt:codigo-civil:402": "provision:pt:codigo-civil:art-402", "pt-codigo-civil:art-342-1": "pt-codigo-civil:art-342-n1", "pt:lei:23/1996:art-10-n1": "pt:lei:23/1996:art-10-n1",
+        "pt:lei:24/1996:art-9b-12-n1": "pt:lei:24/1996:art-9b-12-n1", "topic:gas": "topic:gas", "pt-lei-23-1996-art-10": "pt-lei-23-1996:art-10",
+    }
+    got = {k: one(spark, k, T.canonical_provision) for k in forms}
+    assert got == forms

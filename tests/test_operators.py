@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from actaloom.operators import families, graph, hash_pick, merge, sampling, tree
+from actaloom.operators import families, graph, hash_pick, merge, review, sampling, search, texts, tree
 from actaloom.streaming import ingest
 
 
@@ -60,6 +62,65 @@ def test_three_way_merge(spark):
     assert {r["id"]: r["p"] for r in merge.merge_records(mine, other, "id", "at").collect()} == {"c": "high", "d": "x"}
 
 
+def test_document_merge(spark):
+    def docs(**fields):
+        return spark.createDataFrame([("x", k, json.dumps(v)) for k, v in fields.items()], "doc string, field string, value string")
+
+    def merged(base, local, remote):
+        rows = merge.merge_documents(docs(**base), docs(**local), docs(**remote), "doc", "field", "value").collect()
+        return {r["field"]: json.loads(r["value"]) for r in rows}
+
+    both = {"app": 1, "old": 1, "items": [{"id": "a"}, {"id": "z"}]}
+    assert merged({"app": 1}, {"app": 2, "n": 2}, {"app": 1, "note": "keep"}) == {"app": 2, "n": 2, "note": "keep"}
+    assert merged(both, {"app": 1, "items": [{"id": "a"}]}, both | {"note": "new"}) == {"app": 1, "items": [{"id": "a"}], "note": "new"}
+    low, high = {"id": "c", "updatedAt": "2026-10-16T08:00", "n": {"p": "Low", "s": "x"}}, {"id": "c", "updatedAt": "2026-10-16T12:00", "n": {"p": "High"}}
+    none = {"app": 1}
+    assert merged(none, none | {"items": [high]}, none | {"items": [low]})["items"] == [high]
+    assert merged(none, none | {"items": [low]}, none | {"items": [high]})["items"] == [high]
+    mine, theirs = [{"id": "a", "v": 9}, {"id": "c", "v": 3}], [{"id": "a", "v": 1}, {"id": "b", "v": 2}]
+    assert merged(none, none | {"items": mine}, none | {"items": theirs})["items"] == [{"id": "a", "v": 9}, {"id": "b", "v": 2}, {"id": "c", "v": 3}]
+    assert merged(both, both | {"items": []}, both)["items"] == []
+    assert merged({"app": 1, "tags": ["a"]}, {"app": 1, "tags": ["a", "b"]}, {"app": 1, "tags": ["a"]})["tags"] == ["a", "b"]  # no records: a plain field
+
+
+def test_review(spark):
+    rows = [("a", "accepted", 1), ("a", "accepted", 2), ("b", "accepted", 1), ("b", "rejected", 3), ("c", "rejected", 1), ("c", "rejected", 2), ("d", "accepted", 1), ("e", "disputed", 1), ("e", "accepted", 2), ("f", "accepted", 1), ("f", "accepted", 5), (None, "accepted", 1)]
+    two = review.reviewers(spark.createDataFrame(rows, "k string, s string, at int"), "k", "s", ["at"])
+    held = spark.createDataFrame([("a", True), ("f", False)], "k string, supported boolean")
+    got = {r["k"]: r["g"] for r in two.join(held, "k", "left").select("k", review.gate(F.col("first"), F.col("second"), F.col("supported")).alias("g")).collect()}
+    assert got == {"a": "accepted", "b": "disputed", "c": "rejected", "d": "unreviewed", "e": "unreviewed", "f": "rejected"}
+    assert tuple(review.agreement(two, "first", "second").first()) == (4, 3, 75.0)
+    sample = spark.createDataFrame([("a",), ("f",), ("x",)], "k string")
+    assert tuple(review.precision(sample, held, "k", "supported").first()) == (3, 1, 33.3)
+    steps = spark.createDataFrame([(a, b) for a in (review.MANUAL, review.IMPORTED, review.REVIEWED) for b in (review.MANUAL, review.IMPORTED, review.REVIEWED)], "a string, b string")
+    assert {(r["a"], r["b"]) for r in steps.filter(review.allowed(F.col("a"), F.col("b")) & (F.col("a") != F.col("b"))).collect()} == {(review.MANUAL, review.REVIEWED), (review.IMPORTED, review.REVIEWED)}
+
+
+def test_one_text_and_supported(spark):
+    rows = [("a", "x y"), ("a", "x y"), ("b", "2 q"), ("b", "1 q"), ("c", None)]
+    pages = spark.createDataFrame(rows, "k string, t string")
+    claims = spark.createDataFrame([(1, "a", "y"), (1, "a", "y"), (2, "b", "2"), (3, "b", "1 q"), (4, "c", "x"), (5, "gone", "x"), (6, None, "x"), (7, "a", None)], "n int, k string, quote string")
+    got = {(r["n"], r["supported"]) for r in texts.supported(claims, "k", "quote", pages, "k", "t").collect()}
+    assert got == {(1, True), (2, False), (3, True)}
+
+
+def test_stored_index(spark, tmp_path):
+    df = spark.createDataFrame([(1, "lei lei prazo"), (2, "Lei, custo"), (3, None), (4, "prazo"), (5, "")], "k int, t string")
+    df.write.parquet(str(tmp_path / "in"))
+    index = search.indexed(spark.read.parquet(str(tmp_path / "in")), "k", "t")
+    assert {r["k"] for r in search.bm25(index, "LEI").collect()} == {1, 2} and (index.docs, index.mean) == (4, 1.5)
+    assert {r["k"] for r in search.bm25(index, "lei prazo").collect()} == {1}
+    assert search.bm25(index, "").count() == search.bm25(index, "nada lei").count() == 0
+    df.limit(0).write.parquet(str(tmp_path / "none"))
+    assert search.bm25(search.indexed(spark.read.parquet(str(tmp_path / "none")), "k", "t"), "lei").count() == 0
+
+
+def test_batches_are_exact(spark):
+    df = spark.createDataFrame([(f"k{i}",) for i in range(103)] + [("k1",), (None,)], "k string")
+    rows = sampling.batches(df, "k", 25).groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in rows} == {1: 25, 2: 25, 3: 25, 4: 25, 5: 3}
+
+
 def test_retry_once():
     state, puts = {"v": 1}, []
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actaloom.llm.near_sets import K2, K3
-from actaloom.llm.texts import one_text
+from actaloom.operators.texts import one_text
 from actaloom.session import cut, spread, stored
 
 #: Probability of one confusion where nothing is learned (also the largest), and the occurrences that this counts as;
@@ -547,8 +547,7 @@ def scan_noise(pages: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFra
     cases: (rel_raw, line_no, kind), kinds header, page_number, hyphen, char. repairs: (rel,
     line_no, words, right), the body lines' words in lower case with their decoded forms.
     """
-    pages = one_text(pages, "rel", "text")
-    own = stored(pages.join(scanned, "rel", "left_semi").filter(F.col("text").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]")).dropDuplicates(["rel"]).select("rel", "text"), "scans")
+    own = stored(one_text(pages.join(scanned, "rel", "left_semi"), "rel", "text").filter(F.col("text").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]")).dropDuplicates(["rel"]).select("rel", "text"), "scans")
     own = spread(own)
     around = stored(furniture(own), "furniture")
     skip = around.groupBy("rel").agg(F.collect_set("line_no").alias("skip"))

@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from actaloom.llm import personal, scans, site_lines, texts
+from actaloom.llm import personal, scans, site_lines
+from actaloom.operators import texts
 
 
 def test_repeated_lines_against_brute_force(spark):

@@ -109,7 +109,7 @@ _COLUMNS = ", ".join(TEXTS.names)
 def csv_import(s, d):
     """The catalog written as CSV and imported again; quotes and line ends survive, empty cells are null."""
     path = folder(s, "csv")
-    law(s, d).select(*TEXTS.names).write.csv(path, header=True, quote='"', escape='"')
+    law(s, d).select(*TEXTS.names).write.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return readers.read_csv(s, path, TEXTS)
 
 
@@ -140,11 +140,11 @@ def log_append(s, d):
     return readers.read_jsonl(s, path, ST.StructType([ST.StructField("event_id", ST.LongType()), ST.StructField("event_type", ST.StringType())]))
 
 
-@query("select id, min(coalesce(website, 'unknown')) as website, min(coalesce(year, 'unknown')) as year from law_catalog where id is not null group by id")
+@query("select id, min(coalesce(nullif(website, ''), 'unknown')) as website, min(coalesce(nullif(year, ''), 'unknown')) as year from law_catalog where id is not null group by id")
 def raw_store(s, d):
     """The partitioned store after two writes, the second of which repeats the first and adds the rest."""
     path = folder(s, "store")
-    rows = law(s, d).filter("id is not null").groupBy("id").agg(F.min(F.coalesce("website", F.lit("unknown"))).alias("website"), F.min(F.coalesce("year", F.lit("unknown"))).alias("year"))
+    rows = law(s, d).filter("id is not null").groupBy("id").agg(F.min(T.first_filled(F.col("website"))).alias("website"), F.min(T.first_filled(F.col("year"))).alias("year"))
     sinks.write_raw_store(rows.filter(F.crc32("id") % 2 == 0), path)
     sinks.write_raw_store(rows, path)
     return s.read.schema("id string, website string, year string").parquet(path)

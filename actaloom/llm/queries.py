@@ -152,7 +152,29 @@ goal as (select t.predicate, coalesce(h.available, 0) as available, greatest(t.m
   from sample_targets t cross join size left join have h on h.predicate = t.predicate where t.predicate is not null)
 """
 
+#: Sets of n consecutive words of each text, and the pairs of texts with their similarity.
+_SETS = """
+w as (select k, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]+', 0) as w from texts),
+s as (select distinct k, unnest(case when len(w) < {n} then [array_to_string(w, ' ')] else list_transform(generate_series(1, len(w) - {n} + 1), lambda i: array_to_string(w[i:i + {n} - 1], ' ')) end) as x from w),
+n as (select k, count(*) as n from s group by k),
+near as (select a.k as a, b.k as b, count(*) as c from s a join s b on a.x = b.x and a.k < b.k group by 1, 2),
+alike as (select a, b from near join n x on x.k = a join n y on y.k = b where c / (x.n + y.n - c) >= {least})
+"""
+
+_P4 = "with texts as (select rel_raw as k, min(text) as t from raw_pages where rel_raw in (select rel_raw from law_catalog where id is not null) and text is not null and regexp_matches(text, '[^\\s\\x{00A0}\\x{2007}\\x{202F}\\x{3000}]') group by 1)," + _SETS.format(n=3, least=0.5) + """,
+own as (select distinct id, rel_raw as k from law_catalog where id is not null and rel_raw in (select k from texts)),
+met as (select x.id as i, y.id as j from alike join own x on x.k = a join own y on y.k = b union all select x.id, y.id from own x join own y on x.k = y.k)"""
+
+_P6 = """
+with k as (select id, coalesce(min(try_strptime(substr(imported, 1, 10), '%Y-%m-%d')), timestamp '0001-01-01') as day from law_catalog where id is not null group by id),
+d as (select day, count(*) as n from k group by day), c as (select day, sum(n) over (order by day) as seen, n, row_number() over (order by day) - 1 as step from d),
+q as (select day, step, ceil(round(0.1 * seen, 6)) - ceil(round(0.1 * (seen - n), 6)) as take from c),
+r as (select k.id, q.step, q.take, row_number() over (partition by k.day order by cast(('0x' || substr(sha256('ledger-v1:' || k.id), 1, 15)) as bigint), k.id) as place from k join q on q.day = k.day)
+"""
+
 ORACLE = {
+    "p4_found": _P4 + " select distinct least(i, j) as id_a, greatest(i, j) as id_b from met where i <> j",
+    "p6_sample": _P6 + "select id, cast(step as bigint) as step from r where place <= take",
     "p7_found": _AVAILABLE + "select distinct predicate from goal where available < wanted",
     "p1_found": _P1 + "select distinct l.rel_raw, cast(l.line_no as bigint) as line_no from lines l join frequent f on f.website = l.website and f.letters = l.letters",
     "p1_clean": _P1.rstrip() + """,

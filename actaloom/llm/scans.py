@@ -547,7 +547,8 @@ def scan_noise(pages: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFra
     cases: (rel_raw, line_no, kind), kinds header, page_number, hyphen, char. repairs: (rel,
     line_no, words, right), the body lines' words in lower case with their decoded forms.
     """
-    own = stored(one_text(pages.join(scanned, "rel", "left_semi"), "rel", "text").filter(F.col("text").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]")).dropDuplicates(["rel"]).select("rel", "text"), "scans")
+    found = stored(pages.join(scanned, "rel", "left_semi").filter(F.col("text").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]")), "scans-found")
+    own = stored(one_text(found, "rel", "text").dropDuplicates(["rel"]).select("rel", "text"), "scans")
     own = spread(own)
     around = stored(furniture(own), "furniture")
     skip = around.groupBy("rel").agg(F.collect_set("line_no").alias("skip"))

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from actaloom.functions import identity as I
+from actaloom.functions import markdown
 from actaloom.functions import text as T
 from actaloom.sources import readers, sinks
 
@@ -106,3 +107,12 @@ def test_provisions(spark):
     }
     got = {k: one(spark, k, T.canonical_provision) for k in forms}
     assert got == forms
+
+
+def test_markdown():
+    text = "# A <b>\n\nTexto *um*\ne **dois**.\n\n- a\n  - b\n  - c `x`\n- d\n  segue\n\n3. x\n4. y\n\n---\n\n| p | q |\n|---|:-:|\n| 1 | 2 |\n| 3 |\n\n> cita\n> mais\n\n```\n<i>\n```\nhttps://a.test/x"
+    assert markdown.render(text) == "\n".join([
+        "<h1>A &lt;b&gt;</h1>", "<p>Texto <em>um</em> e <strong>dois</strong>.</p>", "<ul><li>a<ul><li>b</li><li>c <code>x</code></li></ul></li><li>d segue</li></ul>", '<ol start="3"><li>x</li><li>y</li></ol>', "<hr>",
+        "<table><thead><tr><th>p</th><th>q</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr><tr><td>3</td><td></td></tr></tbody></table>", "<blockquote><p>cita mais</p></blockquote>", "<pre><code>&lt;i&gt;</code></pre>", '<p><a href="https://a.test/x">https://a.test/x</a></p>',
+    ])
+    assert markdown.render(None) is None and markdown.render("") == "" and markdown.render("1. a\n- b") == "<ol><li>a</li></ol><ul><li>b</li></ul>"

@@ -12,8 +12,10 @@ seed has - loosely written mail addresses, addresses without a street word, numb
 a label, names - and trusted name tokens tell where a name begins and ends.
 
 Only candidates are shuffled, never texts. The graph lives in DataFrames, its lineage is
-cut each round, and nothing is broadcast. A pattern or a name token of a third of all rows is
-aggregated before each exchange, and its joins are on distinct (pattern, instance) rows.
+cut each round. Trusted patterns and the lexicon of name tokens are broadcast to the candidates
+while they are fewer than `FEW`, so that a pattern or a name of a third of all rows meets no
+task as a whole; more of them are joined by a shuffle. Counts are aggregated before each
+exchange.
 
 Defined cases: null and blank texts have no candidates; repeated pages count once; every
 mention counts; a candidate inside a mail address or a street address is none; names of
@@ -193,6 +195,16 @@ def candidates(pages: DataFrame, rel: str, text: str) -> DataFrame:
     return spread(pages.select(F.col(rel).cast("string"), F.col(text).cast("string"))).mapInArrow(run, CANDS)
 
 
+#: Trusted patterns, and name tokens, up to which they are broadcast (some 60 bytes each).
+FEW = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, written, and marked for broadcast if it has FEW rows at most."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def rounds(edges: DataFrame, seeds: DataFrame, least: Column, support: int) -> tuple[DataFrame, DataFrame]:
     """(trusted patterns: pattern, kind, trust; trusted instances: item, kind).
 
@@ -238,7 +250,7 @@ def identifiers(cands: DataFrame) -> DataFrame:
     edges = sides(n, F.col("item")).distinct()
     seeds = n.filter(F.col("seed") != "").select("item", F.col("seed").alias("kind"))
     least = F.when(F.col("kind").isin("email", "address"), PLACE_TRUST).otherwise(NUMBER_TRUST)
-    best = rounds(cut(edges), seeds, least, NUMBER_SUPPORT)[0].groupBy("pattern").agg(F.max_by("kind", "trust").alias("found"), F.max("trust").alias("trust"))
+    best = small(rounds(cut(edges), seeds, least, NUMBER_SUPPORT)[0].groupBy("pattern").agg(F.max_by("kind", "trust").alias("found"), F.max("trust").alias("trust")))
     open_ = n.filter(F.col("seed") == "")
     near = sides(open_, F.col("rel"), F.col("start"), F.col("text"), F.col("may")).join(best, "pattern").filter(F.col("may").contains(F.col("found"))).groupBy("rel", "start", "text").agg(F.max_by("found", "trust").alias("kind"))
     sure = n.filter(F.col("seed") != "").select("rel", F.col("seed").alias("kind"), "text", "start")
@@ -301,7 +313,7 @@ def people(cands: DataFrame) -> DataFrame:
     edges = cut(sides(n, F.explode("toks").alias("item")).distinct())
     seeds = n.filter(F.col("seed") != "").select(F.explode("toks").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("item", F.lit("person").alias("kind"))
     trusted, reached = rounds(edges, seeds, F.lit(NAME_TRUST), NAME_SUPPORT)
-    good, reached = trusted.select("pattern", "trust"), reached.select("item")
+    good, reached = small(trusted.select("pattern", "trust")), small(reached.select("item"))
     # a mention is trusted by its title or one of its patterns; a token by the share of its distinct mentions that are
     trusted = sides(n, F.col("rel"), F.col("start")).join(good, "pattern").groupBy("rel", "start").agg(F.max("trust").alias("trust"), F.count_distinct("pattern").alias("sure"))
     scored = n.join(trusted, ["rel", "start"], "left").withColumn("trust", F.when(F.col("seed") != "", 1.0).otherwise(F.coalesce("trust", F.lit(0.0))))
@@ -321,6 +333,7 @@ def people(cands: DataFrame) -> DataFrame:
         .join(reached, "item", "left_semi")
         .select("item", (F.col("first") > F.col("last")).alias("given"), (F.col("last") >= F.col("first")).alias("family"))
     )
+    lexicon = small(lexicon)
     every = F.array_distinct(F.transform(F.filter(F.split(F.regexp_replace("text", r"[,\s]+", " "), " "), lambda w: F.length(w) > 1), lambda w: F.lower(w)))
     flags = named.select("rel", "start", "text", F.explode(every).alias("item")).join(lexicon, "item").groupBy("rel", "start", "text").agg(F.collect_list(F.struct("item", "given", "family")).alias("known"))
 

@@ -210,10 +210,10 @@ def encoder(path: str) -> Encoder:
 
 def encode_corpus(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """(key, ids): the token ids of every row, in array<int>; narrow, no shuffle."""
-    path, kind = path or default_path(), df.schema[key].dataType.simpleString()
+    kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path or default_path())  # found by the worker itself
         for b in batches:
             raw = [enc.ids_of(t) for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, raw)]) // 4
@@ -231,10 +231,10 @@ def count_tokens(texts: list[str | None], path: str) -> list[int]:
 
 def decode_corpus(df: DataFrame, key: str, ids: str, path: str | None = None) -> DataFrame:
     """(key, text): the inverse of encode_corpus; null and empty lists give an empty text."""
-    path, kind = path or default_path(), df.schema[key].dataType.simpleString()
+    kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path or default_path())  # found by the worker itself
         for b in batches:
             texts = [enc.decode(np.array(v or [], np.int64)) for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["key", "text"])

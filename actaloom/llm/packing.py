@@ -69,12 +69,12 @@ def projection(size: int) -> np.ndarray:
     return np.stack([(h >> np.uint64(3 * k) & np.uint64(1)).astype(np.float32) * 2 - 1 for k in range(DIMS)], 1)
 
 
-def place(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
+def place(df: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
     """(key, n_tokens, curve): size and Hilbert key of each text."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path or default_path())  # found by the worker itself
         table = projection(len(enc.text))
         for b in batches:
             ids = [np.frombuffer(enc.ids_of(t), "<i4") for t in b.column(1).to_pylist()]
@@ -156,7 +156,7 @@ def pack(df: DataFrame, key: str, text: str, sizes: DataFrame, path: str | None
 
     sizes: (pack_id, capacity), a reference list of at most 1,000 rows.
     """
-    path, kind = path or default_path(), df.schema[key].dataType.simpleString()
+    kind = df.schema[key].dataType.simpleString()
     caps = [(r["pack_id"], r["capacity"]) for r in sizes.select("pack_id", "capacity").distinct().orderBy("pack_id").limit(1001).collect() if r["capacity"] and r["capacity"] > 0]
     if len(caps) > 1000:
         raise ValueError("sizes: more than 1000 capacities")

@@ -165,6 +165,19 @@ _P4 = "with texts as (select rel_raw as k, min(text) as t from raw_pages where r
 own as (select distinct id, rel_raw as k from law_catalog where id is not null and rel_raw in (select k from texts)),
 met as (select x.id as i, y.id as j from alike join own x on x.k = a join own y on y.k = b union all select x.id, y.id from own x join own y on x.k = y.k)"""
 
+#: One row a record: its group, named by the least record that similar texts connect, and its class's links to other classes.
+_GROUPS = """,
+cls as (select k, md5(string_agg(x, chr(1) order by x)) as c from s group by k),
+link as (select distinct x.c as c, y.c as d from (select a, b from alike union all select b, a from alike) e join cls x on x.k = e.a join cls y on y.k = e.b where x.c <> y.c),
+many as (select c, count(*) as links from link group by c),
+walk as (select c, c as o from cls union select w.c, l.d from walk w join link l on l.c = w.o),
+root as (select c, min(o) as r from walk group by c),
+member as (select distinct own.id, cls.c, root.r from own join cls on cls.k = own.k join root on root.c = cls.c),
+name as (select r, min(id) as group_id from member group by r)
+select m.id, min(n.group_id) as group_id, cast(max(coalesce(y.links, 0)) as bigint) as links from member m join name n on n.r = m.r left join many y on y.c = m.c group by m.id
+"""
+_NEAR = "with recursive texts as (select cast(doc_id as varchar) as k, text as t from documents where text is not null and regexp_matches(text, '[^\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0085}]'))," + _SETS.format(n=5, least=0.8) + ", own as (select k as id, k from texts)" + _GROUPS
+
 _P6 = """
 with k as (select id, coalesce(min(try_strptime(substr(imported, 1, 10), '%Y-%m-%d')), timestamp '0001-01-01') as day from law_catalog where id is not null group by id),
 d as (select day, count(*) as n from k group by day), c as (select day, sum(n) over (order by day) as seen, n, row_number() over (order by day) - 1 as step from d),
@@ -174,6 +187,8 @@ r as (select k.id, q.step, q.take, row_number() over (partition by k.day order b
 
 ORACLE = {
     "p4_found": _P4 + " select distinct least(i, j) as id_a, greatest(i, j) as id_b from met where i <> j",
+    "p4_groups": _P4.replace("with texts", "with recursive texts", 1).split(",\nmet as")[0] + _GROUPS,
+    "near_dup_documents": _NEAR,
     "p6_sample": _P6 + "select id, cast(step as bigint) as step from r where place <= take",
     "p7_found": _AVAILABLE + "select distinct predicate from goal where available < wanted",
     "p1_found": _P1 + "select distinct l.rel_raw, cast(l.line_no as bigint) as line_no from lines l join frequent f on f.website = l.website and f.letters = l.letters",

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,8 @@ from actaloom.session import file_system, run_dir
 
 K1, B = 1.2, 0.75
 #: Folders that the postings are spread over by their word; a query reads those of its words only.
-BUCKETS = 64
+BUCKETS = 16
+WORD = re.compile(r"[^\W_]+")
 
 
 def words(x: Column) -> Column:
@@ -28,7 +32,7 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def query_words(query: str) -> list[str]:
-    return sorted(set(re.findall(r"[^\W_]+", query.lower())))
+    return sorted(set(WORD.findall(query.lower())))
 
 
 def bucket(word: Column) -> Column:
@@ -46,13 +50,33 @@ class Index:
 
 
 def build_index(df: DataFrame, key: str, text: str, path: str) -> None:
-    """Writes the index of df to path: a posting for each row and word, sorted by word in each folder."""
-    rows = df.filter(F.col(text).isNotNull()).select(F.col(key), words(F.col(text)).alias("w"))
-    numbered = rows.select(F.monotonically_increasing_id().alias("_row"), key, F.size("w").alias("len"), "w")  # before the words are laid out
-    spread_out = numbered.select("_row", key, "len", F.explode("w").alias("word"))
-    counted = spread_out.groupBy("_row", "word").agg(F.first(key).alias(key), F.first("len").alias("len"), F.count(F.lit(1)).alias("tf"))
-    counted.select(key, "word", "tf", "len", bucket(F.col("word")).alias("bucket")).repartition(F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    rows.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    """Writes the index of df to path, in one pass: a posting for each row and word, sorted by word in each folder.
+
+    Each text also has a posting of no word, by which the texts and their lengths are counted.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, found, tf, size = [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                w = WORD.findall(t.lower())
+                count = Counter(w)
+                at += [i] * (len(count) + 1)
+                found += [None, *count]
+                tf += [0, *count.values()]
+                size += [len(w)] * (len(count) + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(tf, pa.int64()), pa.array(size, pa.int32())], names=[key, "word", "tf", "len"])
+
+    rows = df.filter(F.col(text).isNotNull()).select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, word string, tf bigint, len int")
+    placed = rows.withColumn("bucket", bucket(F.col("word"))).repartition(F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "word")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    texts = stored_postings(df.sparkSession, path, key, kind).filter(F.col("word").isNull() & (F.col("bucket") == bucket(F.lit(None).cast("string"))))
+    texts.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def stored_postings(spark: SparkSession, path: str, key: str, kind: str) -> DataFrame:
+    return spark.read.schema(f"`{key}` {kind}, word string, tf bigint, len int, bucket int").parquet(f"{path}/postings")
 
 
 def indexed(df: DataFrame, key: str, text: str) -> Index:
@@ -73,8 +97,7 @@ def indexed(df: DataFrame, key: str, text: str) -> Index:
 def read_index(spark: SparkSession, path: str, key: str, kind: str) -> Index:
     """The index at path; kind: type of the key."""
     total = spark.read.parquet(f"{path}/totals").first()
-    rows = spark.read.schema(f"`{key}` {kind}, word string, tf bigint, len int, bucket int").parquet(f"{path}/postings")
-    return Index(rows, key, total["docs"], total["mean"] or 0.0)
+    return Index(stored_postings(spark, path, key, kind), key, total["docs"], total["mean"] or 0.0)
 
 
 def bm25(index: Index, query: str) -> DataFrame:

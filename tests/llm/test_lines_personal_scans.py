@@ -213,6 +213,18 @@ def test_pairs_of_a_text_against_a_plain_count():
     assert Counter(scans.known_pairs(text, table, scans.Tokens())) == want and want["prazo", "de"] == 1 and want["de", "dias"] == 1
 
 
+def test_pairs_of_more_tokens_than_are_held():
+    table, tokens = np.full(scans.BITS // 8, 255, np.uint8), scans.Tokens()
+    many = [f"p{k}x" for k in range(300_001)]
+    for text in (" ".join(many), "o prazo de 30 dias\nfim do prazo", " ".join(many[::-1]), "o prazo de 30 dias\nfim do prazo"):
+        want: Counter = Counter()
+        for line in text.split("\n"):
+            words = scans.parts_of(line)
+            want.update(zip(words, words[1:]))
+        assert Counter(scans.known_pairs(text, table, tokens)) == want
+    assert len(tokens) < 20 and len(tokens.words) < 20
+
+
 def test_pairs_count_in_all_pages(spark):
     clean = [(f"c{i}", "a cela do preso.\na gela do frigorifico.") for i in range(20)] + [("once", "uma cela vazia."), ("n", None)]
     scanned = spark.createDataFrame([("s", "uma eela vazia")], "rel string, text string")

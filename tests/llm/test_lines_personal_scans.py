@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from actaloom.llm import personal, scans, site_lines
@@ -213,6 +214,31 @@ def test_pairs_of_a_text_against_a_plain_count():
     assert Counter(scans.known_pairs(text, table, scans.Tokens())) == want and want["prazo", "de"] == 1 and want["de", "dias"] == 1
 
 
+def test_signs_and_repetitions_cost_no_token_or_pair_of_their_own():
+    table, tokens = np.full(scans.BITS // 8, 255, np.uint8), scans.Tokens()
+    text = "\n".join(f"o prazo, (o prazo); o prazo: {k % 30}.{k % 31},{k % 7} «o prazo»" for k in range(1000))
+    got = scans.known_pairs(text, table, tokens)
+    assert got == {("o", "prazo"): 4000, ("prazo", "o"): 3000}
+    assert len(tokens) < 60
+
+
+def test_bytes_hold_the_same_words_and_looks():
+    for c in [*range(1, 0x3000), 0xFB01, 0x1D400]:
+        for text in (f"a{chr(c)}b", f"1{chr(c)}2 {chr(c)}", f"x-{chr(c)}y {chr(c)}@q", f"Ano-{chr(c)}"):
+            words = scans.bare(text).split()
+            assert [w for x in words for w in scans.WORD.findall(x.decode())] == scans.WORD.findall(text.lower()), c
+            assert [w for x in words for w in scans.parts_of(x.decode())] == scans.parts_of(text), c
+            if len(f"{chr(c)}x".splitlines()) == 1:
+                assert scans.fold_lines([text, "Mnudhw ½ «ñ»", ""]) == [scans.fold(text), scans.fold("Mnudhw ½ «ñ»"), ""], c
+    assert scans.fold_lines([]) == []
+
+
+def test_records_of_lists():
+    rows = pa.array([[{"a": "x", "n": 1}, {"a": None, "n": 2}], None, [], [{"a": "y", "n": 3}]])
+    assert list(scans.records(rows)) == [[("x", 1), (None, 2)], [], [], [("y", 3)]]
+    assert list(scans.records(rows[1:])) == [[], [], [("y", 3)]] and list(scans.records(rows[:0])) == []
+
+
 def test_pairs_of_more_tokens_than_are_held():
     table, tokens = np.full(scans.BITS // 8, 255, np.uint8), scans.Tokens()
     many = [f"p{k}x" for k in range(300_001)]

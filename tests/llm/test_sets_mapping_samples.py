@@ -118,6 +118,27 @@ def test_short_texts_of_equal_narrow_hashes_stay_apart(spark, monkeypatch):
     assert got == {("k07", "same")}
 
 
+def test_shingle_sets_of_many_texts_against_each_alone():
+    rnd = random.Random(5)
+    many = ["!!!", "uma só", "Uma SÓ!", "a b c " * 5000, "é½² x–y “q” _a_ a_b @c|d-e", "ΑΣ ΑΣ, ΑΣ-Α", "\x1c\xa0x", "日本語 テキスト 日本"]
+    many += ["".join(rnd.choices("ab1_@|- .\t\r\xa0 “–½²éΣσ", k=rnd.randrange(90))) for _ in range(500)]
+    values, sizes = near_sets.shingle_sets(many, 3)
+    for text, own in zip(many, np.split(values, np.cumsum(sizes)[:-1])):
+        words = re.findall(r"\w+", text.lower())
+        assert len(own) == (len({tuple(words[k : k + 3]) for k in range(len(words) - 2)}) or 1) and (own[1:] > own[:-1]).all()
+        assert own.tolist() == near_sets.shingles(text, 3).tolist() == near_sets.shingles("\n".join(words), 3).tolist()
+    x, size = near_sets.uniques((values >> near_sets.S32).astype(np.uint32), sizes)
+    rows = near_sets.sketches(x, size)
+    assert all((near_sets.sketches(y, np.array([len(y)])) == r).all() for y, r in zip(np.split(x, np.cumsum(size)[:-1]), rows))
+
+
+def test_pair_that_meets_at_many_paths_is_found_once(spark):
+    rows = [(path, bytes([k]), 100, 0, 0, 0, 0) for path in range(6000) for k in (2, 1, 2)]
+    df = spark.createDataFrame(rows, "path bigint, cls binary, n int, s1 bigint, s2 bigint, s3 bigint, s4 bigint").coalesce(1).sortWithinPartitions("path")
+    found = [(bytes(r["a"]), bytes(r["b"])) for r in near_sets.bucket_pairs(df, 0.5).collect()]
+    assert set(found) == {(b"\1", b"\2")} and len(found) <= -(-len(rows) // near_sets.READY)
+
+
 def test_pairs_of_a_hot_class(spark, monkeypatch):
     monkeypatch.setattr(near_sets, "PART", 4)
     rows = [(f"k{i:02d}", "o mesmo texto para todos") for i in range(30)] + [("z", "outro texto sem parceiro algum")]
